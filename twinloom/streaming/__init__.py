@@ -1,0 +1,6 @@
+"""No streaming operators: fitting a twin needs the covariance of the whole table.
+
+The lazy stages of :mod:`twinloom.operators` that do not fit anything (hash
+randoms, decoding with given knots) are plain column expressions and therefore
+also work on a streaming DataFrame.
+"""
