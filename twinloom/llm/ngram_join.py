@@ -83,7 +83,7 @@ def shingles(text: str | None) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     ids = _word_ids
-    if len(ids) > 1_000_000:
+    if len(ids) > 400_000:
         ids.clear()
     for w in set(words).difference(ids):
         ids[w] = _hash_word(w)
@@ -147,7 +147,13 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(SKETCH):
             agree += m[:, k][:, None] == m[:, k][None, :]
         nodes = np.asarray(t.column("node"))
-        hubs = _hubs(agree >= SKETCH_AGREE, nodes)
+        linked = agree >= SKETCH_AGREE
+        hubs = _hubs(linked, nodes)
+        if t.column("bi")[0].as_py() != t.column("bj")[0].as_py():
+            # both blocks also meet themselves: here one link for each of their classes is enough
+            own = np.asarray(t.column("own"))
+            firsts = _hubs(linked & (own[:, None] == own[None, :]), nodes) == nodes
+            nodes, hubs = nodes[firsts], hubs[firsts]
         a.append(nodes[hubs != nodes])
         b.append(hubs[hubs != nodes])
         if len(a) >= 1000:
@@ -245,7 +251,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         "sets",
     )
     leaves = candidate_leaves(sets, recall, threshold).join(sets.select("node", "sketch"), "node")
-    near = met(in_blocks(leaves, "path", "node", "n", LEAF), "path").select("path", "bi", "bj", "node", "sketch").mapInArrow(_near, "a long, b long")
+    near = met(in_blocks(leaves, "path", "node", "n", LEAF), "path").select("path", "bi", "bj", "own", "node", "sketch").mapInArrow(_near, "a long, b long")
     comps = connected_components(near)
     sizes = comps.groupBy("comp").agg(F.count("*").alias("n"))
     members = written(
