@@ -36,14 +36,15 @@ from twinloom.storage import written
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RECALL = 0.99999
+RECALL = 0.9999
 SKETCH = 64
 #: Sets a bucket (or block) may hold to be compared at once.
 LEAF = 256
 #: Splits after which a bucket that is still larger is compared in blocks.
 DEPTH = 3
-#: Positions that a bucket's second and later splits choose.
-BRANCHES = 2
+#: Positions that a bucket's second and later splits choose. More would need fewer runs, but a group of copies
+#: that does not come apart would be met BRANCHES ** (DEPTH - 1) times a run.
+BRANCHES = 1
 #: Sketches agree in 51 of 64 positions on average at the threshold; fewer than 36 happen once in 100,000 pairs.
 SKETCH_AGREE = 36
 #: Up to so many candidates (16 bytes each) are broadcast to the texts.
