@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     label's own label, so that chains shorten by halves. Every round is written
     to the shared folder; only the number of changes reaches the driver.
     """
-    both = edges.where("a <> b").select("a", "b")
+    both = written(edges.where("a <> b").select("a", "b"), "links")  # read twice
     both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "labels")
     while True:
