@@ -58,6 +58,7 @@ _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"^([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?$", re.I)
+_MARKS = str.maketrans("", "", "\x01\x02\x03")
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -193,7 +194,10 @@ class Layout:
 
     @staticmethod
     def join(pieces: list[str]) -> str:
-        """``pieces`` are texts and the marks \\x01 (line) and \\x02 (empty line); spaces at line ends go."""
+        """``pieces`` are texts and the marks \\x01 (line) and \\x02 (empty line); spaces at line ends go.
+
+        A text that begins with \\x03 keeps its leading space.
+        """
         out: list[str] = []
         gap = 0
         for p in pieces:
@@ -202,8 +206,9 @@ class Layout:
             elif p == "\x02":
                 gap = 2
             elif p:
-                fresh = gap or not out
-                if fresh:
+                if p[0] == "\x03":  # laid out already
+                    p = p[1:]
+                elif gap or not out:
                     p = p[1:] if p[0] == " " else p
                 elif p[0] == " " and out[-1][-1:] in (" ", "\n"):
                     p = p[1:]
@@ -220,7 +225,7 @@ class Layout:
     def flow(self, node: Node, out: list[str], pre: bool) -> None:
         for child in node.children:
             if isinstance(child, str):
-                out.append(child.replace("\r\n", "\n").replace("\x01", "").replace("\x02", "") if pre else _SPACE.sub(" ", child).replace("\x01", "").replace("\x02", ""))
+                out.append(child.replace("\r\n", "\n").translate(_MARKS) if pre else _SPACE.sub(" ", child).translate(_MARKS))
             elif self.shown(child):
                 self.element(child, out, pre)
 
@@ -243,11 +248,11 @@ class Layout:
                 if isinstance(c, Node) and c.tag == "summary":
                     self.flow(c, out, pre)
         elif tag == "dd":
-            out.append("  " + self.text(node).replace("\n", "\n  "))
+            out.append("\x03  " + self.text(node).replace("\n", "\n  "))
         elif tag == "pre":
             inner: list[str] = []
             self.flow(node, inner, True)
-            out.append("".join(x for x in inner if x not in ("\x01", "\x02")).strip("\n"))
+            out.append("\x03" + "".join(x.lstrip("\x03") for x in inner if x not in ("\x01", "\x02")).strip("\n"))
         elif tag == "q":
             out.append("“")
             self.flow(node, out, pre)
