@@ -42,9 +42,6 @@ SKETCH = 64
 LEAF = 256
 #: Splits after which a bucket that is still larger is compared in blocks.
 DEPTH = 3
-#: Positions that a bucket's second and later splits choose. More would need fewer runs, but a group of copies
-#: that does not come apart would be met BRANCHES ** (DEPTH - 1) times a run.
-BRANCHES = 1
 #: Sketches agree in 51 of 64 positions on average at the threshold; fewer than 36 happen once in 100,000 pairs.
 SKETCH_AGREE = 36
 #: Up to so many candidates (16 bytes each) are broadcast to the texts.
@@ -59,13 +56,10 @@ _word_ids: dict[bytes, int] = {}
 def runs_for(recall: float, threshold: float = THRESHOLD) -> int:
     """Runs after which a pair at the threshold has met with the given chance.
 
-    A run splits once on one position (chance: the threshold) and, if buckets
-    stay large, up to DEPTH - 1 times on BRANCHES positions each.
+    A pair stays together through a run's DEPTH splits with the threshold's
+    DEPTH-th power; buckets that are small before are compared earlier.
     """
-    below = 1.0
-    for _ in range(DEPTH - 1):
-        below = 1 - (1 - threshold * below) ** BRANCHES
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold * below))
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**DEPTH))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -214,7 +208,7 @@ def _verify(threshold: float):
 
 
 def _split(buckets: DataFrame) -> DataFrame:
-    """(path, node, n): buckets of two sets or more with their size; of equal buckets one stays."""
+    """Buckets of two sets or more with their size n; of equal buckets one stays."""
     sizes = buckets.groupBy("path").agg(F.count("*").alias("n"), F.expr("bit_xor(node)").alias("x"), F.expr("bit_xor(xxhash64(node))").alias("y"))
     sizes = sizes.where("n > 1").groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path", "n")
     return buckets.join(sizes, "path")
@@ -228,16 +222,21 @@ def candidate_leaves(sets: DataFrame, recall: float, threshold: float) -> DataFr
     """(path, node, n): the buckets at which the recursion ends."""
     runs = runs_for(recall, threshold)
     keys = F.array(*[F.xxhash64(F.lit(r), _value(F.col("sketch"), F.lit(r % SKETCH))) for r in range(runs)])
-    buckets = written(_split(sets.select("node", F.explode(keys).alias("path"))), "buckets")
-    leaves = [buckets.where(F.col("n") <= LEAF)]
+    # a set's whole way down is known from its own sketch: each bucket's choice of a position hangs on its path alone
+    ways = sets.select("node", "sketch", F.explode(keys).alias("path1"))
     for depth in range(2, DEPTH + 1):
-        large = buckets.where(F.col("n") > LEAF)
-        if not large.limit(1).count():
+        above = f"path{depth - 1}"
+        position = F.pmod(F.xxhash64(above), F.lit(SKETCH)).cast("int")
+        ways = ways.withColumn(f"path{depth}", F.xxhash64(above, _value(F.col("sketch"), position)))
+    ways = ways.drop("sketch")
+    leaves = []
+    for depth in range(1, DEPTH + 1):
+        buckets = written(_split(ways.withColumnRenamed(f"path{depth}", "path")), "buckets")
+        done = buckets if depth == DEPTH else buckets.where(F.col("n") <= LEAF)
+        leaves.append(done.select("path", "node", "n"))
+        ways = buckets.where(F.col("n") > LEAF).drop("path", "n")
+        if not ways.limit(1).count():
             break
-        chosen = [F.pmod(F.xxhash64("path", F.lit(b)), F.lit(SKETCH)).cast("int") for b in range(BRANCHES)]
-        deeper = F.array(*[F.xxhash64("path", F.lit(b), _value(F.col("sketch"), c)) for b, c in enumerate(chosen)])
-        buckets = written(_split(large.join(sets.select("node", "sketch"), "node").select("node", F.explode(deeper).alias("path"))), "buckets")
-        leaves.append(buckets if depth == DEPTH else buckets.where(F.col("n") <= LEAF))
     out = leaves[0]
     for x in leaves[1:]:
         out = out.unionByName(x)
