@@ -166,7 +166,7 @@ def generate(df: DataFrame, key: str | list[str], k: int = 2, mix_prob: float =
     if len(order) > 1:
         for x in pairwise(scored, [f"_z{i}" for i in width]).collect():
             i, j = int(x.a[2:]), int(x.b[2:])
-            r[i, j] = r[j, i] = x.corr if x.corr is not None and x.corr == x.corr else 0.0
+            r[i, j] = r[j, i] = round(x.corr, 9) if x.corr is not None and x.corr == x.corr else 0.0
     if order:
         values, vectors = np.linalg.eigh(r)
         r = (vectors * np.maximum(values, RIDGE)) @ vectors.T
