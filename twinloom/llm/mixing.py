@@ -130,12 +130,14 @@ def plan_mix(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
 
 def _with_swap(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """``plan`` with ``swap``: the hash of the one document a source that, put in or left out, brings it nearest to its target."""
-    joined = sizes.where("size > 0").join(plan, sizes["source"].eqNullSafe(plan["source"])).drop(sizes["source"])
+    few = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES  # else the join is dealt by source
+    small = F.broadcast(plan) if few else plan
+    joined = sizes.where("size > 0").join(small, sizes["source"].eqNullSafe(plan["source"])).drop(sizes["source"])
     had = joined.groupBy("source").agg(F.sum(F.when(F.col("h") < F.col("below"), F.col("size")).otherwise(0)).alias("had"))
     gap = plan.join(had.withColumnRenamed("source", "hs"), F.col("source").eqNullSafe(F.col("hs")), "left").select(
         "source", "source_size", "target", "whole", "below", (F.col("extra") - F.coalesce("had", F.lit(0))).alias("gap")
     )
-    each = sizes.where("size > 0").withColumnRenamed("source", "s").join(gap, F.col("s").eqNullSafe(F.col("source")))
+    each = sizes.where("size > 0").withColumnRenamed("source", "s").join(F.broadcast(gap) if few else gap, F.col("s").eqNullSafe(F.col("source")))
     useful = (F.col("h") >= F.col("below")) == (F.col("gap") > 0)
     off = F.abs(F.abs("gap") - F.col("size"))
     best = (
