@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,10 +87,17 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> list[ColumnSpec]
 PROFILE_SCHEMA = "column_name string, kind string, n long, nulls long, ndv long, low double, high double, mean double, variance double"
 
 
+def _half_up(x: float | None, digits: int) -> float | None:
+    """Rounded as SQL does: a five at the end goes up."""
+    if x is None or not math.isfinite(x):
+        return x
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, Context(prec=400)))
+
+
 def profile_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The profile as a table, a row a column; mean and variance rounded to 4 and 2 digits."""
     rows = [
-        (s.name, s.kind, s.n, s.nulls, s.ndv, s.low, s.high, None if s.mean is None else round(s.mean, 4), None if s.variance is None else round(s.variance, 2))
+        (s.name, s.kind, s.n, s.nulls, s.ndv, s.low, s.high, _half_up(s.mean, 4), _half_up(s.variance, 2))
         for s in profile(df, columns)
     ]
     return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
