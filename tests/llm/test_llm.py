@@ -41,13 +41,13 @@ def test_same_as_sql(spark, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck(ORACLE_SQL[name]))
 
 
-def _classes(texts):
+def _classes(texts, threshold=0.8):
     sets = [set(ngram_join.shingles(t).tolist()) for t in texts]
     group, links = list(range(len(sets))), [0] * len(sets)
     for i in range(len(sets)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+            if both and both >= threshold * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
                 links[i] += 1
                 links[j] += 1
                 a, b = group[i], group[j]
@@ -72,6 +72,18 @@ def test_ngram_join_of_a_large_group(spark, monkeypatch):
     assert sorted(map(tuple, ngram_join.jaccard_classes(df).collect())) == [(i, g, n) for i, (g, n) in enumerate(zip(group, links))]
 
 
+def test_ngram_join_at_a_lower_threshold(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(120)]
+        texts += [" ".join(w if rng.random() > 0.04 else f"x{rng.integers(1e9)}" for w in base) for _ in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group, links = _classes(texts, 0.5)
+    assert sum(links) > 100
+    assert sorted(map(tuple, ngram_join.jaccard_classes(df, 0.5).collect())) == [(i, g, n) for i, (g, n) in enumerate(zip(group, links))]
+
+
 def test_ngram_join_on_odd_tables(odd, empty):
     found = sorted(map(tuple, ngram_join.jaccard_classes(odd).collect()), key=repr)
     assert found == sorted([(None, None, 0), (1, 1, 0), (2, 2, 2), (3, 2, 2), (3, 2, 2), (4, 4, 0), (5, 5, 0)], key=repr)

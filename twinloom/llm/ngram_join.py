@@ -42,8 +42,8 @@ SKETCH = 64
 LEAF = 256
 #: Splits after which a bucket that is still larger is compared in blocks.
 DEPTH = 3
-#: Sketches agree in 51 of 64 positions on average at the threshold; fewer than 36 happen once in 100,000 pairs.
-SKETCH_AGREE = 36
+#: Chance that the sketches of a pair at the threshold agree too seldom to be looked at.
+SKETCH_MISS = 1e-5
 #: Up to so many candidates (16 bytes each) are broadcast to the texts.
 BROADCAST_ROWS = 500_000
 
@@ -59,7 +59,17 @@ def runs_for(recall: float, threshold: float = THRESHOLD) -> int:
     A pair stays together through a run's DEPTH splits with the threshold's
     DEPTH-th power; buckets that are small before are compared earlier.
     """
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**DEPTH))
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**DEPTH)) if threshold < 1 else 1
+
+
+def agree_for(threshold: float) -> int:
+    """Positions that two sketches have to share: a pair at the threshold has fewer with SKETCH_MISS at most (0.8: 36)."""
+    fewer = 0.0
+    for k in range(SKETCH):
+        fewer += math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k)
+        if fewer > SKETCH_MISS:
+            return k
+    return SKETCH
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -131,31 +141,34 @@ def _hubs(linked: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     return least[labels]
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) that span what the sketches of a leaf may link."""
-    a, b = [], []
-    for t in groups(batches, ["path", "bi", "bj"]):
-        if t.num_rows < 2:
-            continue
-        m = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u4").reshape(-1, SKETCH)
-        agree = np.zeros((len(m), len(m)), np.int16)
-        for k in range(SKETCH):
-            agree += m[:, k][:, None] == m[:, k][None, :]
-        nodes = np.asarray(t.column("node"))
-        linked = agree >= SKETCH_AGREE
-        hubs = _hubs(linked, nodes)
-        if t.column("bi")[0].as_py() != t.column("bj")[0].as_py():
-            # both blocks also meet themselves: here one link for each of their classes is enough
-            own = np.asarray(t.column("own"))
-            firsts = _hubs(linked & (own[:, None] == own[None, :]), nodes) == nodes
-            nodes, hubs = nodes[firsts], hubs[firsts]
-        a.append(nodes[hubs != nodes])
-        b.append(hubs[hubs != nodes])
-        if len(a) >= 1000:
+def _near(agreed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links (a, b) that span what the sketches of a leaf may link."""
+        a, b = [], []
+        for t in groups(batches, ["path", "bi", "bj"]):
+            if t.num_rows < 2:
+                continue
+            m = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u4").reshape(-1, SKETCH)
+            agree = np.zeros((len(m), len(m)), np.int16)
+            for k in range(SKETCH):
+                agree += m[:, k][:, None] == m[:, k][None, :]
+            nodes = np.asarray(t.column("node"))
+            linked = agree >= agreed
+            hubs = _hubs(linked, nodes)
+            if t.column("bi")[0].as_py() != t.column("bj")[0].as_py():
+                # both blocks also meet themselves: here one link for each of their classes is enough
+                own = np.asarray(t.column("own"))
+                firsts = _hubs(linked & (own[:, None] == own[None, :]), nodes) == nodes
+                nodes, hubs = nodes[firsts], hubs[firsts]
+            a.append(nodes[hubs != nodes])
+            b.append(hubs[hubs != nodes])
+            if len(a) >= 1000:
+                yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
+                a, b = [], []
+        if a:
             yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
-            a, b = [], []
-    if a:
-        yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -251,7 +264,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         "sets",
     )
     leaves = candidate_leaves(sets, recall, threshold).join(sets.select("node", "sketch"), "node")
-    near = met(in_blocks(leaves, "path", "node", "n", LEAF), "path").select("path", "bi", "bj", "own", "node", "sketch").mapInArrow(_near, "a long, b long")
+    near = met(in_blocks(leaves, "path", "node", "n", LEAF), "path").select("path", "bi", "bj", "own", "node", "sketch").mapInArrow(_near(agree_for(threshold)), "a long, b long")
     comps = connected_components(near)
     sizes = comps.groupBy("comp").agg(F.count("*").alias("n"))
     members = written(
