@@ -273,6 +273,25 @@ def test_secret_scan(spark, odd, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secret_scan_sees_every_run_of_a_token(spark):
+    key, other = "wJalr7UtnFEMIK7MDENGbPxRfiCY", "ab12cd34ef56ab78"
+    texts = [f"x access_token={other} y", f"AWS_SECRET_ACCESS_KEY={key}", f"clientSecret:{other}", f'{{"access_token":"{other}","plain":"{key}","client_secret":"{key}"}}', f"https://a.b/?page_of_results=abcdefghijkl&order_number={other}"]
+    df = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = secrets.labelled_by_rule(secrets.candidates(df)).collect()
+    assert sorted((r.doc_id, r.value, r.label) for r in found) == sorted([(0, other, 1), (1, key, 1), (2, other, 1), (3, other, 1), (3, key, 0), (3, key, 1), (4, other, 0)])
+    assert [(r.before, r.after) for r in found if r.doc_id == 0] == [("x access_token=", "y")]
+
+
+def test_secret_scan_learns_from_rare_secrets(spark):
+    hashed = [hashlib.md5(str(i).encode()).hexdigest() for i in range(6000)]
+    texts = [f"commit sha {h} merged" for h in hashed[:5990]] + [f"now password={h[:20]} set" for h in hashed[5990:]]
+    df = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = secrets.labelled_by_rule(secrets.candidates(df))
+    forest = secrets.train(found, max_train=100)
+    assert forest.model is not None
+    assert {(r.label, r.score >= secrets.THRESHOLD) for r in forest.score(found).collect()} == {(0, False), (1, True)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

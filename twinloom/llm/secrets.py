@@ -1,7 +1,7 @@
 """Secret scan: a random forest over candidate strings (DataFrame functions and Spark ML only).
 
 A candidate is a run of 12 or more letters, digits and ``+ / _ -`` in a token,
-with a digit or 12 capitals in a row. The forest judges it by length, shares of
+with a digit or 12 capitals in a row; a token can hold several. The forest judges it by length, shares of
 character classes, changes between them, distinct characters, how much of it a
 dictionary covers, the path it stands in, and the words around it.
 
@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from twinloom.llm.common import SPACES
 from twinloom.storage import written
 
-#: Findings that the forest is trained on (about; chosen by a hash of the candidate), and words of its dictionary.
+#: Findings that the forest is trained on (about; chosen by a hash, up to half of them for the rarer label), and words of its dictionary.
 MAX_TRAIN = 4_000
 MAX_WORDS = 1_000
 TREES, DEPTH = 40, 8
 THRESHOLD = 0.5
+#: Characters of the words before a token that go with its second run and later ones (its first has them whole).
+AROUND = 128
 
 _RUN = r"[A-Za-z0-9+/_-]{12,}"
 _ODD = r"[0-9]|[A-Z]{12}"
@@ -46,7 +48,11 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame, path_col: str = "source") -> DataFrame:
-    """doc_id, path, word (index of the token), value, before, after: one row a candidate."""
+    """doc_id, path, word (index of the token), value, before, after: one row a candidate.
+
+    What stands before and after a run of a token with several is the run next to it and what is between; the first
+    also has the words before the token, the last those after it.
+    """
     text = F.col("text")
     tokens = F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), SPACES)
     found = F.filter(
@@ -64,15 +70,20 @@ def candidates(docs: DataFrame, path_col: str = "source") -> DataFrame:
     )
     likely = docs.where(text.rlike(_ODD)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(path_col).alias("path"), tokens.alias("tokens"))
     each = likely.withColumn("found", found).where(F.size("found") > 0).select("doc_id", "path", F.explode(around).alias("c"))
-    value = F.regexp_extract("c.token", _RUN, 0)
+    runs, gaps = F.regexp_extract_all("c.token", F.lit(_RUN), F.lit(0)), F.split("c.token", _RUN)
+    each = each.withColumns({"runs": runs, "gaps": gaps}).select("*", F.posexplode("runs").alias("at", "value")).where(F.col("value").rlike(_ODD))
+    at, gap = F.col("at"), F.get("gaps", F.col("at"))
+    first, last = at == 0, at == F.size("runs") - 1
+    before = F.when(first, F.col("c.before")).otherwise(F.concat(F.right("c.before", F.lit(AROUND)), F.lit(" "), F.get("runs", at - 1)))
+    after = F.when(last, F.col("c.after")).otherwise(F.concat(F.get("gaps", at + 1), F.get("runs", at + 1)))
     return each.select(
         "doc_id",
         "path",
         F.col("c.word").cast("long").alias("word"),
-        value.alias("value"),
-        F.concat(F.col("c.before"), F.lit(" "), F.substr(F.col("c.token"), F.lit(1), F.position(value, F.col("c.token")) - 1)).alias("before"),
-        F.col("c.after").alias("after"),
-    ).where(F.col("value").rlike(_ODD))
+        "value",
+        F.concat(before, F.when(first, F.lit(" ")).otherwise(F.lit("")), gap).alias("before"),
+        after.alias("after"),
+    )
 
 
 def _share(pattern: str) -> Column:
@@ -107,7 +118,8 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
 
 def labelled_by_rule(found: DataFrame) -> DataFrame:
     """``found`` with a label: 1 for access keys and for values assigned to a secret's name."""
-    named = F.lower("before").rlike(rf"\b({SECRET_WORDS})\w*[\"']?\s*[=:]\s*[\"']?$")
+    capital = "|".join(w.capitalize() for w in SECRET_WORDS.split("|"))  # access_token, AWS_SECRET_ACCESS_KEY and accessToken are names too
+    named = F.col("before").rlike(rf"((?<![A-Za-z0-9])(?i:{SECRET_WORDS})|(?<=[a-z0-9])({capital}))\w*[\"']?\s*[=:]\s*[\"']?$")
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
     return found.withColumn("label", (F.col("value").rlike(ACCESS_KEY) | (named & mixed)).cast("int"))
 
@@ -128,21 +140,31 @@ class Forest:
 
 
 def train(findings: DataFrame, max_train: int = MAX_TRAIN, seed: int = 7) -> Forest:
-    """A forest from findings (columns of :func:`candidates` and label), about ``max_train`` of them."""
-    sized = written(findings.where("label is not null").select("path", "value", "before", "after", "label"), "findings")
+    """A forest from findings (columns of :func:`candidates` and label), about ``max_train`` of them.
+
+    Each label is drawn at its own rate, so that rare secrets stay in the sample; weights of one by that rate keep the
+    labels' shares as they are among all findings.
+    """
+    sized = written(findings.where("label is not null").select("doc_id", "word", "path", "value", "before", "after", "label"), "findings")
     n = {r.label: r["count"] for r in sized.groupBy("label").count().collect()}
     total, secret = sum(n.values()), n.get(1, 0)
     if not secret or secret == total:
         return Forest([], None, float(bool(secret)))
-    kept = F.pmod(F.xxhash64("value", "before"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_train / total))
+    rarer = min(n, key=n.get)
+    share = min(n[rarer], max_train // 2)
+    rate = {x: min(1.0, (share if x == rarer else max_train - share) / n[x]) for x in n}
+    own_rate = F.when(F.col("label") == rarer, rate[rarer]).otherwise(rate[1 - rarer])
+    kept = F.pmod(F.xxhash64("doc_id", "word", "value", "before"), F.lit(1_000_000_000)) < own_rate * 1_000_000_000
     sample = written(sized.where(kept), "sample") if total > max_train else sized
     word = F.explode(F.split(F.lower(F.concat("before", F.lit(" "), "after")), "[^a-z]+")).alias("w")
     common = sample.select(word).where(F.length("w").between(3, 20)).groupBy("w").count().orderBy(F.col("count").desc(), "w").limit(MAX_WORDS)
     dictionary = [r.w for r in common.collect()]
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="_x").transform(with_features(sample, dictionary)).select("_x", F.col("label").cast("double").alias("label"))
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="_x").transform(with_features(sample, dictionary)).select(
+        "_x", F.col("label").cast("double").alias("label"), (F.lit(1.0) / own_rate if total > max_train else F.lit(1.0)).alias("weight")
+    )
     rows = rows.sort("label", F.hash(vector_to_array("_x"))).coalesce(1)  # max_train rows, in one order whatever the layout
     forest = RandomForestClassifier(
-        featuresCol="_x", labelCol="label", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y", numTrees=TREES, maxDepth=DEPTH, seed=seed
+        featuresCol="_x", labelCol="label", weightCol="weight", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y", numTrees=TREES, maxDepth=DEPTH, seed=seed
     )
     if rows.select("label").distinct().count() < 2:
         return Forest([], None, secret / total)
