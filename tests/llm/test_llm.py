@@ -242,6 +242,13 @@ def test_token_files(spark, docs, odd, empty, tmp_path):
     assert tokens.read_digest(tokens.write_tokens(odd, TOKENIZER)).count() == len(ODD) and tokens.read_digest(tokens.write_tokens(empty, TOKENIZER)).count() == 0
 
 
+def test_stops_after_letters_that_become_marks():
+    encoder = tokens._Encoder(TOKENIZER)
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    for text in ["TAKSİ.", "DENİZLİ, TAKSİ.", "\u0958.", "İ,", "été. İs,", *(f"a{c}. {c}," for c in letters)]:
+        assert encoder.encode(text) == encoder._ids(text), ascii(text)
+
+
 def test_top_k_on_odd_tables(spark):
     v = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [1.0, None]), (4, [float("inf"), 1.0]), (5, [1.0, 2.0, 3.0]), (100, [-1.0, 0.5]), (100, [-1.0, 0.5]), (7, []), (8, [1.0, 2.0])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>")

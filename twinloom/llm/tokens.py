@@ -121,6 +121,14 @@ class _Encoder(dict):
         self.tokenizer.encode_special_tokens = False
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.letter = "H" if self.width == 2 else "I"
+        self.apart: dict[str, bool] = {}
+
+    def _apart(self, letter: str) -> bool:
+        """Whether a stop after a letter is a pre-token of its own: a letter may become letter and mark, and mark and stop are one."""
+        if letter not in self.apart:
+            plain = self.tokenizer.normalizer.normalize_str(letter + ".")
+            self.apart[letter] = self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)[-1][0] == "."
+        return self.apart[letter]
 
     def _ids(self, piece: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids
@@ -129,7 +137,7 @@ class _Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        if piece[-1] in ".," and piece[:-1].isalpha():  # a word before a stop is likely known
+        if piece[-1] in ".," and piece[:-1].isalpha() and self._apart(piece[-2]):  # a word before a stop is likely known
             ids = self[piece[:-1]] + self[piece[-1]]
         else:
             ids = self._ids(piece)
