@@ -200,6 +200,14 @@ def test_toxicity(spark, odd, empty):
     assert {r.score < 0.3 for r in toxicity.score(odd, none).collect()} == {True} and toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_drops_copies_alone(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, 80)) for _ in range(200)]
+    copies = [texts[0], texts[1].upper(), texts[2] + " more"]
+    df = spark.createDataFrame([(i, t, i % 2 == 1) for i, t in enumerate(texts)] + [(1000 + i, t, i % 2 == 1) for i, t in enumerate(copies)], "doc_id long, text string, toxic boolean")
+    assert sorted(r.doc_id for r in toxicity.without_copies(df).collect()) == list(range(200))
+
+
 def test_automaton_is_edit_distance():
     def distance(a, b):
         d = list(range(len(b) + 1))
