@@ -136,6 +136,15 @@ def test_html(spark):
     assert [r.text for r in html_text.extract_text(df).collect()][:3] == [None, "", "deep"]
 
 
+def test_html_of_drawings_formulas_and_spans():
+    formula = "<p>So <math><semantics><mrow><mi>E</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>tex</annotation></semantics></math> holds"
+    drawing = "<svg>no<title>no</title><defs><text>no</text></defs><defs/><g><path d='M0'/><text>Input</text><text>Out <tspan>put</tspan></text></g><desc>no</desc></svg>after"
+    assert html_text.render(formula) == "So E=1 2 holds"
+    assert html_text.render(drawing) == "Input\nOut put\nafter"
+    table = "<table><tbody><tr><td rowspan=2>a<td>b<td rowspan=0>c<tr><td>d<tr><td>e<td>f<tbody><tr><td>g<td>h<td>i</table>"
+    assert html_text.render(table) == "a | b | c\n  | d\ne | f\ng | h | i"
+
+
 def test_decontamination_on_odd_tables(spark, odd, empty):
     bench = spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(50, 70))), (2, "ONE two"), (2, "one, two"), (3, None), (None, "one two")], "item_id long, text string")
     found = {(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.judged(decontaminate.find_hits(odd, bench)).collect()}

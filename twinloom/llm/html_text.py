@@ -5,7 +5,9 @@ browsers do not show is left out (head, scripts, templates, comments, ``hidden``
 ``display:none`` inline or by a simple rule of the page's own style sheet, closed
 ``details`` and ``dialog``). Blocks are set apart by line breaks, paragraphs and
 the like by an empty line; list items have marks and indentation; the cells of a
-table are padded to columns; ``pre`` keeps its white space.
+table are padded to columns, also below cells that span rows; ``pre`` keeps its
+white space. Of drawings and formulas their texts are shown, a line for each text
+of a drawing, a space between the parts of a fraction and the like.
 
 Edge cases: a null page gives null, an empty one the empty text; text that is no
 HTML comes out as it is, white space collapsed; tags nested beyond 400 are read
@@ -29,7 +31,12 @@ MAX_DEPTH = 400
 # Names of elements by their roles in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
-NOT_SHOWN = frozenset("head script style template noscript iframe object datalist audio video canvas svg math area base link meta param title".split())
+NOT_SHOWN = frozenset("head script style template noscript iframe object datalist audio video canvas area base link meta param title".split())
+#: In drawings and formulas: elements that are not drawn, and those whose own characters are not.
+NOT_DRAWN = frozenset("desc defs metadata symbol clippath mask marker pattern annotation annotation-xml".split())
+SHAPES = frozenset("svg g path rect circle ellipse line polyline polygon use image switch".split())
+#: In formulas: elements whose parts stand above each other or raised.
+STACKED = frozenset("mfrac msup msub msubsup mroot munder mover munderover mmultiscripts mtr".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset form hr".split())
 BLOCKS = PARAGRAPHS | frozenset(
     "address article aside body center dd details dialog dir div dt figcaption footer header hgroup html legend li main menu nav section summary caption option optgroup tr thead tbody tfoot td th".split()
@@ -58,6 +65,7 @@ _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"^([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?$", re.I)
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _MARKS = str.maketrans("", "", "\x01\x02\x03")
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
@@ -91,16 +99,21 @@ def build(html: str) -> tuple[Node, str]:
                 return None
         return None
 
-    def push(tag: str, attrs: dict[str, str]) -> None:
+    def foreign() -> bool:
+        return any(x.tag in ("svg", "math") for x in open_)
+
+    def push(tag: str, attrs: dict[str, str], closed: bool = False) -> None:
         node = Node(tag, attrs)
         open_[-1].children.append(node)
-        if tag not in VOID and len(open_) < MAX_DEPTH:
+        if tag not in VOID and not closed and len(open_) < MAX_DEPTH:
             open_.append(node)
 
     def add_text(text: str) -> None:
         if text:
             if open_[-1].tag == "head" and text.strip():
                 open_.pop()
+            if open_[-1].tag in SHAPES and foreign():
+                return
             open_[-1].children.append(unescape(text))
 
     n = len(html)
@@ -138,7 +151,13 @@ def build(html: str) -> tuple[Node, str]:
             close(*IMPLIED[tag])
         if tag in ("td", "th") and open_[-1].tag in ("table", "thead", "tbody", "tfoot"):
             push("tr", {})
-        push(tag, _attributes(source) if source.strip() else {})
+        attrs = _attributes(source) if source.strip() else {}
+        if tag in NOT_DRAWN and foreign():
+            attrs["hidden"] = ""
+        closed = source.endswith("/") and bool(_SELF_CLOSED.search(source)) and (tag in ("svg", "math") or foreign())
+        push(tag, attrs, closed)
+        if closed:
+            continue
         if tag in RAW or tag == "title" or tag == "textarea":
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             body = html[at : end.start() if end else n]
@@ -234,7 +253,7 @@ class Layout:
         if tag == "br":
             out.append("\n")
             return
-        mark = "\x02" if tag in PARAGRAPHS else "\x01" if tag in BLOCKS else ""
+        mark = "\x02" if tag in PARAGRAPHS else "\x01" if tag in BLOCKS or tag == "text" else ""
         if mark:
             out.append(mark)
         if tag == "hr":
@@ -253,6 +272,10 @@ class Layout:
             inner: list[str] = []
             self.flow(node, inner, True)
             out.append("\x03" + "".join(x.lstrip("\x03") for x in inner if x not in ("\x01", "\x02")).strip("\n"))
+        elif tag in STACKED:
+            for i, c in enumerate(c for c in node.children if isinstance(c, Node) and self.shown(c)):
+                out.append(" " if i else "")
+                self.element(c, out, pre)
         elif tag == "q":
             out.append("“")
             self.flow(node, out, pre)
@@ -289,6 +312,7 @@ class Layout:
     def table(self, node: Node) -> str:
         rows: list[list[str]] = []
         before: list[str] = []
+        spans: list[int] = []  # rows that cells above still take, by column
 
         def visit(n: Node) -> None:
             for c in n.children:
@@ -299,17 +323,29 @@ class Layout:
                     continue
                 elif c.tag == "tr":
                     cells: list[str] = []
+                    below: dict[int, int] = {}
                     for x in c.children:
                         if isinstance(x, str):
                             if x.strip():
                                 before.append(_SPACE.sub(" ", x).strip())
                         elif self.shown(x):
+                            while len(cells) < len(spans) and spans[len(cells)]:
+                                cells.append("")
+                            column = len(cells)
                             cells.append(_SPACE.sub(" ", self.text(x)) if x.tag in ("td", "th") else self.text(x))
                             span = x.attrs.get("colspan", "1")
                             cells += [""] * (min(int(span), 100) - 1 if span.isdigit() and len(span) < 5 else 0)
+                            span = x.attrs.get("rowspan", "1")
+                            if span.isdecimal() and len(span) < 6 and span != "1":
+                                below |= dict.fromkeys(range(column, len(cells)), int(span) - 1 if int(span) else 65534)  # 0: all rows of the group
                     rows.append(cells)
+                    spans[:] = [max(0, k - 1) for k in spans] + [0] * (max(below, default=-1) + 1 - len(spans))
+                    for column, k in below.items():
+                        spans[column] = max(spans[column], k)
                 elif c.tag in ("thead", "tbody", "tfoot"):
+                    spans.clear()
                     visit(c)
+                    spans.clear()
                 else:  # a caption, or content that has no place in a table: it stands before the rows
                     inner: list[str] = []
                     self.element(c, inner, False)
