@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -35,4 +36,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return back
+
+
+_paths: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`written` returned and that nothing will read again.
+
+    The driver also drops what it holds of finished plans, whereupon Spark removes their shuffle files.
+    """
+    spark = SparkSession.active()
+    for t in tables:
+        _delete(spark, t.written_to)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written; results that still read them must have been used."""
+    for path in _paths.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
