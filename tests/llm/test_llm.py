@@ -175,19 +175,96 @@ def test_scores(docs, odd, empty):
         words = [*pitman_yor.tokens(texts[r.doc_id]), None]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(words), sum(count[w] > 0 for w in words), n)
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words))
-    assert sum(r.score for r in found if r.held_out) > sum(r.base_score for r in found if r.held_out)
+    out = [r for r in found if r.held_out]  # a tenth of the unigram model's perplexity, or less on texts with copies
+    assert sum(r.score for r in out) / sum(r.n_tokens for r in out) > sum(r.base_score for r in out) / sum(r.n_tokens for r in out) + 0.3
     assert pitman_yor.score(odd).count() == len(ODD) and pitman_yor.score(empty).count() == 0
 
 
-def test_dish_probabilities_sum_to_one():
+def _one_by_one(texts, base, discount, above, sweeps=200, burn=100):
+    """Pair probabilities by a plain sampler: every customer of every restaurant stands up and is seated anew, one after the other."""
+    rng = np.random.default_rng(3)
+    rooms, order = {}, []  # context -> dish -> sizes of tables
+
+    def p(w, room):
+        own = rooms.get(room, {})
+        c, t, n, k = sum(own.get(w, [])), len(own.get(w, [])), sum(map(sum, own.values())), sum(map(len, own.values()))
+        d = above if room is None else discount
+        return (c - d * t + (1 + d * k) * (base if room is None else p(w, None))) / (1 + n)
+
+    def sit(w, room):
+        own, d = rooms.setdefault(room, {}), above if room is None else discount
+        k = sum(map(len, own.values()))
+        weights = [s - d for s in own.get(w, [])] + [(1 + d * k) * (base if room is None else p(w, None))]
+        at = rng.choice(len(weights), p=np.array(weights) / sum(weights))
+        if at == len(own.get(w, [])):
+            own.setdefault(w, []).append(0)
+            if room is not None:
+                sit(w, None)
+        own[w][at] += 1
+
+    def stand(w, room):
+        sizes = rooms[room][w]
+        at = rng.choice(len(sizes), p=np.array(sizes) / sum(sizes))
+        sizes[at] -= 1
+        if not sizes[at]:
+            sizes.pop(at)
+            if room is not None:
+                stand(w, None)
+
+    for words in texts:
+        order += zip(["<", *words], [*words, ">"])
+    for u, w in order:
+        sit(w, u)
+    seen = sorted({w for _, w in order}) + ["?"]
+    total = {}
+    for sweep in range(sweeps):
+        for u, w in order:
+            stand(w, u)
+            sit(w, u)
+        if sweep >= burn:
+            for u in [*{u for u, _ in order}, "?"]:
+                for w in seen:
+                    total[u, w] = total.get((u, w), 0) + p(w, u) / (sweeps - burn)
+    return total
+
+
+def test_scores_are_those_of_a_plain_sampler(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    words = [f"w{min(i, 30)}" for i in rng.geometric(0.12, 900)]
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:18]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    texts = {i: " ".join(words[50 * k : 50 * k + 50]) for k, i in enumerate(ids)} | {i: " ".join(words[7 * k : 7 * k + 60 : 2]) + " Neu" for k, i in enumerate(held)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    chains = {i: list(zip(["<", *t.lower().split()], [*t.lower().split(), ">"])) for i, t in texts.items()}
+    pairs = Counter(x for i in ids for x in chains[i])
+    discount = pitman_yor.discount_of(sum(n == 1 for n in pairs.values()), sum(n == 2 for n in pairs.values()))
+    heads = Counter(w for _, w in pairs)
+    above = pitman_yor.discount_of(sum(n == 1 for n in heads.values()), sum(n == 2 for n in heads.values()))
+    plain = _one_by_one([texts[i].lower().split() for i in ids], 1 / (len(heads) + 1), discount, above)
+    known = {u for u, _ in plain}
+    expected = {i: sum(math.log10(plain[u if u in known else "?", w if (u, w) in plain or w in heads else "?"]) for u, w in c) for i, c in chains.items()}
+    for bucket in (2_000_000, 60):  # and with many blocks, buckets and spread contexts
+        monkeypatch.setattr(pitman_yor, "PAIR_BUCKET", bucket)
+        monkeypatch.setattr(pitman_yor, "WORD_BUCKET", bucket)
+        monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", bucket)
+        found = {r.doc_id: r.score for r in pitman_yor.score(df).collect()}
+        assert found == {i: pytest.approx(x, rel=0.02) for i, x in expected.items()}
+
+
+def test_seating_moves_keep_their_distribution():
+    # two customers share a table with weight (1 - d) against the new table's mass
     rng = np.random.default_rng(1)
-    pairs = rng.poisson(3.0, (6, 6))
-    assert np.allclose(pitman_yor.dish_table(pairs, rng).sum(axis=1), 1)
-    counts, words = np.array([1, 2, 9]), np.array([50.0, 20.0, 3.0])
-    rare = pitman_yor.RareWords(counts, words, 73, rng)
-    assert (words * 10 ** rare.log10(counts)).sum() + 10 ** rare.log10(np.array([0]))[0] == pytest.approx(1, abs=0.02)
-    t = pitman_yor.seat(np.array([1, 10, 1000, 100_000]), np.full(4, 0.5), 0.5, rng)
-    assert t[0] == 1 and (np.diff(t) > 0).all()
+    c = np.array([2] * 4000 + [3] * 4000 + [500] * 50)
+    s = pitman_yor.Seating(c, 0.5, rng)
+    mass = lambda rows, t: np.full(len(rows), 0.8)
+    s.seat(mass)
+    for _ in range(10):
+        s.sweep(mass)
+        assert all((m.sum(axis=1) == c[r]).all() and ((m > 0).sum(axis=1) == s.tables[r]).all() for r, m in s.groups)
+    weights = np.array([(1 - 0.5) * (2 - 0.5) * 0.8, 3 * (1 - 0.5) * 0.8**2, 0.8**3])  # one, two, three tables of three customers
+    assert s.tables[:4000].mean() == pytest.approx(1 + 0.8 / 1.3, abs=0.03)
+    assert s.tables[4000:8000].mean() == pytest.approx((weights * [1, 2, 3]).sum() / weights.sum(), abs=0.05)
+    assert 5 < s.tables[8000:].mean() < 9
 
 
 def test_mixing_on_odd_tables(odd, empty):
