@@ -84,11 +84,42 @@ def test_ngram_join_at_a_lower_threshold(spark):
     assert sorted(map(tuple, ngram_join.jaccard_classes(df, 0.5).collect())) == [(i, g, n) for i, (g, n) in enumerate(zip(group, links))]
 
 
-def test_ngram_join_on_odd_tables(odd, empty):
+def test_ngram_join_of_texts_with_common_parts(spark, monkeypatch):
+    # a third of each text is one passage: buckets are split beyond the first levels, and the copies among them are found
+    monkeypatch.setattr(ngram_join, "LEAF", 8)
+    rng = np.random.default_rng(1)
+    common = " ".join(f"c{i}" for i in range(60))
+    texts = [common + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 90)) for _ in range(250)]
+    texts += [t.rsplit(" ", 3)[0] for t in texts[:40]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group, links = _classes(texts)
+    assert sum(links) == 80
+    assert sorted(map(tuple, ngram_join.jaccard_classes(df).collect())) == [(i, g, n) for i, (g, n) in enumerate(zip(group, links))]
+
+
+def test_ngram_join_runs():
+    assert ngram_join.runs_for(0.999) >= ngram_join.runs_for(0.99) > 1
+    assert ngram_join.runs_for(0.9, 1.0) == 1
+
+
+def test_ngram_join_on_odd_tables(spark, odd, empty):
     found = sorted(map(tuple, ngram_join.jaccard_classes(odd).collect()), key=repr)
     assert found == sorted([(None, None, 0), (1, 1, 0), (2, 2, 2), (3, 2, 2), (3, 2, 2), (4, 4, 0), (5, 5, 0)], key=repr)
     assert ngram_join.jaccard_classes(empty).count() == 0
-    assert ngram_join.one_of_each(odd).columns == odd.columns
+    kept = ngram_join.one_of_each(odd)
+    assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([None, 1, 2, 4, 5], key=repr)
+    assert ngram_join.one_of_each(empty).count() == 0
+
+
+def test_one_row_of_each_class_stays(spark):
+    text, near, other = (" ".join(f"{x}{i}" for i in range(100)) for x in "ttu")
+    near = near.replace("t99", "v")
+    rows_ = [(1, text, "a"), (1, text, "b"), (2, text, "c"), (5, text, "d"), (None, text, "e"), (5, other, "f"), (None, other, "g"), (None, "only here", "h"), (None, "only here", "i"),
+             (None, None, "j"), (None, None, "k"), (7, " ", "l"), (7, " ", "l"), (9, near, "m"), (1, other + " end", "n")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows_, "doc_id long, text string, `other.one` string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.text and r.text.strip() and r.doc_id) == [(1, text), (1, other + " end")]
+    assert sorted(r[2] for r in kept if not r.text or not r.text.strip()) == ["j", "k", "l", "l"]
+    assert [(r.doc_id, r.text) for r in kept if r.text == "only here"] == [(None, "only here")] and len(kept) == 7
 
 
 PATTERNS = {

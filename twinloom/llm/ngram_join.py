@@ -1,13 +1,16 @@
 """N-gram Jaccard self-join by the chosen-path method.
 
 A text is the set of its five-word shingles (a shorter text: one shingle of all
-its words). Equal sets are joined by their digest. For the others, 64 minimum
-hashes stand for the set, and a run splits the sets recursively: a bucket's own
-random choice names hash positions, and sets go to the bucket of each position's
-value. Similar sets share a position's value with a chance equal to their
-similarity. Buckets of up to ``LEAF`` sets are compared by their sketches, larger
-ones are split again, and those that do not come apart (they hold copies of one
-text) are compared in pairs of blocks. The number of runs follows from the recall
+its words). Equal sets are joined by their 128-bit digest. For the others, 64
+minimum hashes stand for the set, and a run splits the sets recursively: a
+bucket's own random choice names hash positions, and sets go to the bucket of
+each position's value. Similar sets share a position's value with a chance equal
+to their similarity. Buckets of up to ``LEAF`` sets are compared by their
+sketches, larger ones are split again: the first ``DEPTH`` times on one position,
+then on two positions at once, by which a pair at the threshold has children in
+common as often as not however deep it goes. A bucket that holds more than half
+of the one it was split from does not come apart (it holds copies of one text);
+it is compared in pairs of blocks. The number of runs follows from the recall
 that is asked for. What the sketches may link is one candidate component; within
 it all pairs are compared exactly on the whole shingle sets, so a link between
 members is found even if no run met that pair.
@@ -15,8 +18,7 @@ members is found even if no run met that pair.
 Edge cases: texts without a word (null, empty) link to nothing and are their own
 class; rows with equal texts are copies of each other, whatever their ids; the
 class id is the smallest doc_id of the class, nulls aside; an empty table gives
-an empty result; other columns are not looked at. Sets are identified by 64-bit
-digests.
+an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,12 +38,16 @@ from twinloom.storage import written
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RECALL = 0.9999
+#: Chance that a pair at the threshold is met; links within a candidate component do not hang on it.
+RECALL = 0.999
 SKETCH = 64
 #: Sets a bucket (or block) may hold to be compared at once.
 LEAF = 256
-#: Splits after which a bucket that is still larger is compared in blocks.
+#: Splits on one position; further ones are on BRANCHES positions.
 DEPTH = 3
+BRANCHES = 2
+#: Shingles a set of a block has on average at most; blocks of longer ones hold fewer.
+SET_SHINGLES = 2048
 #: Chance that the sketches of a pair at the threshold agree too seldom to be looked at.
 SKETCH_MISS = 1e-5
 #: Up to so many candidates (16 bytes each) are broadcast to the texts.
@@ -56,10 +62,27 @@ _word_ids: dict[bytes, int] = {}
 def runs_for(recall: float, threshold: float = THRESHOLD) -> int:
     """Runs after which a pair at the threshold has met with the given chance.
 
-    A pair stays together through a run's DEPTH splits with the threshold's
-    DEPTH-th power; buckets that are small before are compared earlier.
+    Of a pair's SKETCH positions k agree. A run starts at a position of its own, and its further DEPTH - 1 splits fall on any;
+    from there on the pair stays together in some branch with at least the chance that solves f = 1 - (1 - f k / SKETCH) ** BRANCHES.
     """
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**DEPTH)) if threshold < 1 else 1
+    if threshold >= 1:
+        return 1
+    at = np.arange(SKETCH + 1)
+    share = at / SKETCH
+    chance = np.array([math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k) for k in at.tolist()])
+    deeper = np.ones(SKETCH + 1)
+    for _ in range(200):
+        deeper = 1 - (1 - deeper * share) ** BRANCHES
+    lost = 1 - share ** (DEPTH - 1) * deeper
+    for runs in range(1, SKETCH + 1):
+        # of the first positions of the runs j agree, a hypergeometric number
+        missed = 0.0
+        for k in range(SKETCH + 1):
+            ways = [math.comb(k, j) * math.comb(SKETCH - k, runs - j) for j in range(runs + 1)]
+            missed += chance[k] * sum(w * lost[k] ** j for j, w in enumerate(ways)) / math.comb(SKETCH, runs)
+        if missed <= 1 - recall:
+            return runs
+    return SKETCH
 
 
 def agree_for(threshold: float) -> int:
@@ -108,29 +131,30 @@ def _sketch(s: np.ndarray) -> bytes:
     return (_mix(least) >> np.uint64(32)).astype("<u4").tobytes()
 
 
-def _node(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, sketches = [], []
-        for text in batch.column(1).to_pylist():
+        digests, sketches, sizes = [], [], []
+        for text in batch.column(2).to_pylist():
             s = shingles(text)
-            nodes.append(_node(s) if len(s) else None)
+            sizes.append(len(s))
+            digests.append(_digest(s) if len(s) else None)
             sketches.append(_sketch(s) if len(s) else None)
-        yield pa.record_batch({"doc_id": batch.column(0), "node": pa.array(nodes, pa.int64()), "sketch": pa.array(sketches, pa.binary())})
+        yield pa.record_batch(
+            {"doc_id": batch.column(0), "text_key": batch.column(1), "digest": pa.array(digests, pa.binary()), "size": pa.array(sizes, pa.int64()), "sketch": pa.array(sketches, pa.binary())}
+        )
 
 
 def _shingler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, comp, n, copies, shingles; rows whose text isn't the node's (an id that repeats) go."""
+    """node, comp, n, copies, shingles."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
             sets = [shingles(t) for t in part.column("text").to_pylist()]
-            right = [len(s) > 0 and _node(s) == n for s, n in zip(sets, part.column("node").to_pylist())]
-            kept = part.filter(pa.array(right)).drop_columns(["text"])
-            yield kept.append_column("shingles", pa.array([s.tobytes() for s, ok in zip(sets, right) if ok], pa.binary()))
+            yield part.drop_columns(["text"]).append_column("shingles", pa.array([s.tobytes() for s in sets], pa.binary()))
 
 
 def _hubs(linked: np.ndarray, nodes: np.ndarray) -> np.ndarray:
@@ -245,58 +269,90 @@ def candidate_leaves(sets: DataFrame, recall: float, threshold: float) -> DataFr
     leaves = []
     for depth in range(1, DEPTH + 1):
         buckets = written(_split(ways.withColumnRenamed(f"path{depth}", "path")), "buckets")
-        done = buckets if depth == DEPTH else buckets.where(F.col("n") <= LEAF)
-        leaves.append(done.select("path", "node", "n"))
-        ways = buckets.where(F.col("n") > LEAF).drop("path", "n")
-        if not ways.limit(1).count():
+        leaves.append(buckets.where(F.col("n") <= LEAF).select("path", "node", "n"))
+        large = buckets.where(F.col("n") > LEAF)
+        ways = large.drop("path", "n")
+        if large.isEmpty():
             break
+    while not large.isEmpty():
+        parents = large.select("node", F.col("path").alias("above"), F.col("n").alias("n_above")).join(sets.select("node", "sketch"), "node")
+        ways = parents.withColumn("branch", F.explode(F.array(*map(F.lit, range(BRANCHES)))))
+        position = F.pmod(F.xxhash64("above", "branch", F.lit("deeper")), F.lit(SKETCH)).cast("int")
+        ways = ways.select("node", "n_above", F.xxhash64("above", "branch", _value(F.col("sketch"), position)).alias("path"))
+        buckets = written(_split(ways), "buckets")
+        done = (F.col("n") <= LEAF) | (2 * F.col("n") > F.col("n_above"))
+        leaves.append(buckets.where(done).select("path", "node", "n"))
+        large = buckets.where(~done)
     out = leaves[0]
     for x in leaves[1:]:
         out = out.unionByName(x)
     return out
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id and n_links (documents with a similarity of ``threshold`` or more) for each row of ``docs``."""
-    base = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher, "doc_id long, node long, sketch binary"), "sketches")
-    sets = written(
-        base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("sketch").alias("sketch")),
-        "sets",
-    )
+def text_key(text: Column) -> Column:
+    """What tells texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _classed(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """doc_id, text_key, class (null: a text without words), class_id, first (doc_id and text_key of the class's first row), n_links of each row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    base = written(rows.mapInArrow(_sketcher, "doc_id long, text_key long, digest binary, size long, sketch binary"), "sketches")
+    # the first row of a set: nulls come last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep")
+    sets = base.where("digest is not null").groupBy("digest").agg(first, F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
+    sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     leaves = candidate_leaves(sets, recall, threshold).join(sets.select("node", "sketch"), "node")
     near = met(in_blocks(leaves, "path", "node", "n", LEAF), "path").select("path", "bi", "bj", "own", "node", "sketch").mapInArrow(_near(agree_for(threshold)), "a long, b long")
     comps = connected_components(near)
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("n"))
-    members = written(
-        comps.join(sizes, "comp").join(sets.select("node", "rep", "copies"), F.col("id") == F.col("node")).select("node", "rep", "copies", "comp", "n"),
-        "members",
-    )
+    found = comps.join(sets.select("node", "rep", "copies", "size"), F.col("id") == F.col("node"))
+    sizes = found.groupBy("comp").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") / SET_SHINGLES)).alias("n"))
+    members = written(found.join(sizes, "comp").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), "copies", "comp", "n"), "members")
     few = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    held = texts.join(F.broadcast(members) if few else members, texts["rep"].eqNullSafe(members["rep"]))
+    same = rows["doc_id"].eqNullSafe(members["rep_id"]) & (rows["text_key"] == members["rep_key"])
+    held = rows.join(F.broadcast(members) if few else members, same)
     full = held.select("node", "comp", "n", "copies", "text").mapInArrow(_shingler, "node long, comp long, n long, copies long, shingles binary")
     ready = met(in_blocks(full, "comp", "node", "n", LEAF), "comp").select("comp", "bi", "bj", "own", "node", "copies", "shingles")
     links = written(ready.mapInArrow(_verify(threshold), "a long, hub long, links long"), "links")
 
-    degree = links.groupBy("a").agg(F.sum("links").alias("links"), F.min("hub").alias("hub"), F.max("hub").alias("other"))
-    if members.where(F.col("n") > LEAF).limit(1).count():
+    degree = links.groupBy("a").agg(F.sum("links").alias("links"), F.min("hub").alias("hub"))
+    if not members.where(F.col("n") > LEAF).isEmpty():
         own = connected_components(links.select("a", F.col("hub").alias("b")))
         degree = degree.join(own, F.col("a") == F.col("id"), "left").withColumn("hub", F.coalesce("comp", "hub"))
-    classed = sets.select("node", "rep", "copies").join(degree, F.col("node") == F.col("a"), "left").select(
-        "node", "rep", F.coalesce("hub", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    classed = sets.select("node", "digest", "rep", "copies").join(degree, F.col("node") == F.col("a"), "left").select(
+        "digest", "rep", F.coalesce("hub", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     classed = written(classed, "classed")
-    least = classed.groupBy("class").agg(F.min("rep").alias("class_id"))
-    known = classed.join(least, "class").select("node", "class_id", "n_links")
-    return base.select("doc_id", "node").join(known, "node", "left").select(
+    known = classed.join(classed.groupBy("class").agg(F.min("rep").alias("first")), "class").select("digest", "class", "first", "n_links")
+    return base.select("doc_id", "text_key", "digest").join(known, "digest", "left")
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id and n_links (documents with a similarity of ``threshold`` or more) for each row of ``docs``."""
+    return _classed(docs, threshold, recall).select(
         "doc_id",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``docs`` with one document a class: the one with the smallest id. Texts without words all stay."""
-    kept = jaccard_classes(docs, threshold, recall).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    ids = kept.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    """``docs`` with one row a class: that with the smallest doc_id (null ids last), and of texts under one id that with the smallest hash.
+
+    Rows that repeat in id and text are copies too: of those that differ in other columns the one with the smallest hash
+    of all columns stays. Texts without words belong to no class and all stay.
+    """
+    rows = written(_classed(docs, threshold, recall).where("class is not null"), "rows")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    keys = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("times"), F.first(kept).alias("kept"))
+    touched = written(keys.where("times > 1 or not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept"), "touched")
+    few = touched.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def of(wanted: DataFrame, how: str) -> DataFrame:
+        same = docs["doc_id"].cast("long").eqNullSafe(wanted["_id"]) & (text_key(docs["text"]) == wanted["_key"])
+        return docs.join(F.broadcast(wanted) if few else wanted, same, how)
+
+    alone = of(touched, "left_anti")
+    repeated = of(touched.where("kept"), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    one = repeated.groupBy(F.col("r.doc_id").alias("_id"), text_key(F.col("r.text")).alias("_key")).agg(F.min_by("r", F.xxhash64("r")).alias("r"))
+    return alone.unionByName(one.select("r.*"))
