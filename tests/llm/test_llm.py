@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -160,6 +162,32 @@ def test_pii_field_labels_repeats(spark):
     assert pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().text == "Call <phone> now, later <phone> again"
 
 
+def test_pii_field_finds_other_writings_of_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = pii.train(docs.where("doc_id % 2 = 0"))
+    found = {True: [], False: []}
+    for r in docs.where("doc_id % 2 = 1 and text like '%@%' or text like '%+%'").select("text").collect():
+        text, good, bad = pii.with_other_writings(r.text, random.Random(1))
+        base = pii.base_spans(text)
+        added = model.added(pii.Tokens(text, base), base)
+        for mine, spans in ((True, good), (False, bad)):
+            found[mine] += [any(k == kind and a < end and start < b for k, a, b in added) for kind, start, end in spans]
+    assert len(found[True]) > 100 and np.mean(found[True]) > 0.9 and len(found[False]) > 50 and np.mean(found[False]) < 0.05
+
+
+def test_pii_field_reaches_all_repeats_and_is_linear(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.train(docs)
+    text = "Call +1 (988) 555-2485 now" + ", then as before (988) 555-2485 again" * 40
+    base = pii.base_spans(text)
+    assert len(model.added(pii.Tokens(text, base), base)) == 40
+    began = time.time()
+    for long in ("a" * 2_000_000, "漢" * 500_000 + "1", "9" * 300_000, "a@" * 100_000, "+1 (" * 100_000):
+        pii.base_spans(long)
+        pii.Tokens(long, [])
+    assert time.time() - began < 20
+
+
 def test_html(spark):
     page = "<title>T</title><style>.ad{display:none}</style><h1>Hi &amp; you</h1><p>One<p>two<div class=ad>no</div><ul><li>a<li>b<ol start=3><li>x</ol></ul><table><tr><th>Name<th>n<tr><td>kiwi fruit<td>12</table><pre> a\n  b</pre>x<br>y<span hidden>no</span><script>no</script>"
     assert html_text.render(page) == "Hi & you\n\nOne\n\ntwo\n\n- a\n- b\n  3. x\n\nName       | n\nkiwi fruit | 12\n\n a\n  b\n\nx\ny"

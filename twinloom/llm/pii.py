@@ -1,13 +1,20 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
 Emails, addresses of machines, card and phone numbers are found by patterns.
-The random field labels all tokens with a digit or an at sign: neighbours share
-a chain potential, and tokens with the same digits or letters, however far apart,
-share a skip potential, so that a number written without its country code, say,
-gets the label of the full one elsewhere in the text. Loopy message passing gives
-the tokens' label probabilities. Labels, transitions and agreement are learned
-from texts that the patterns have marked; the patterns' own finds are given to
-the field as evidence and always stay.
+The random field labels all tokens with a digit or an at sign. Neighbours share
+a chain potential. Tokens with the same letters, digits or last seven digits of
+a run of numbers, however far apart, share skip potentials with one hidden
+variable of what they have in common, so that a number written without its
+country code, say, gets the label of the full one elsewhere in the text. Loopy
+message passing, repeated until no message changes, gives the tokens' label
+probabilities; the patterns' own finds are its evidence and always stay.
+
+The weights of features, chain and skip edges are fitted together, by the
+likelihood of each token's label given its neighbours', on texts that the
+patterns have marked. To each of them lines are added that the patterns do not
+find: its own finds in another writing (personal data), and as many numbers and
+names of the same shapes drawn at random (not personal data), so that the shape
+alone does not decide.
 
 Edge cases: null and empty texts have no spans; a text without digits and at
 signs has none either; rows that repeat are searched each; other columns are not
@@ -17,7 +24,9 @@ looked at; if the corpus has nothing to learn from, only the patterns count.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,19 +38,22 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 #: Texts with a digit or an at sign that the field is trained on (about; chosen by a hash of the id).
 MAX_TRAIN = 2_000
-ROUNDS = 8
+#: Messages are passed until none changes by more, or (on graphs that do not settle) so many times.
+SETTLED, ROUNDS = 1e-4, 200
 #: Probability from which a token gets a label that no pattern gave it.
 SURE = 0.9
 EVIDENCE = 8.0
-#: A key of fewer letters and digits says nothing about sameness.
+RIDGE = 0.05
+#: A key of fewer letters and digits says nothing about sameness; a run of numbers is known by its last SUFFIX digits.
 KEY_LENGTH = 6
+SUFFIX = 7
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+_TOKEN = re.compile(r"\S+")
 _LIKELY = re.compile(r"[0-9@]")
 _EDGES = re.compile(r"^[^\w+(]+|[^\w)]+$")
 
@@ -97,7 +109,7 @@ class Tokens:
 
     def __init__(self, text: str, spans: list[Span]):
         self.text = text
-        places = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
+        places = [(m.start(), m.end()) for m in _TOKEN.finditer(text) if _LIKELY.search(m[0])]
         self.start = np.array([a for a, _ in places], dtype=np.int64)
         self.end = np.array([b for _, b in places], dtype=np.int64)
         n = len(places)
@@ -109,14 +121,16 @@ class Tokens:
         self.x = np.stack([self._features(w) for w in words]) if n else np.zeros((0, self.SIZE))
         near = np.flatnonzero(self.start[1:] - self.end[:-1] <= 1) if n else np.zeros(0, np.int64)
         self.chain = np.column_stack([near, near + 1])
-        last: dict[str, int] = {}
-        skips = []
+        shared: dict[str, list[int]] = {}
+        run = ""
         for i, w in enumerate(words):
-            for key in self._keys(w):
-                if key in last and last[key] != i - 1:
-                    skips.append((last[key], i))
-                last[key] = i
-        self.skip = np.array(sorted(set(skips)), dtype=np.int64).reshape(-1, 2)
+            run = (run if i and self.start[i] - self.end[i - 1] <= 1 else "") + _digits(w)
+            for key in self._keys(w) | ({"s" + run[-SUFFIX:]} if len(run) >= SUFFIX else set()):
+                shared.setdefault(key, []).append(i)
+        hubs = {tuple(at) for at in shared.values() if len(at) > 1}  # several keys of the same tokens are one
+        #: (token, number of the hidden variable it shares)
+        self.skip = np.array([(i, k) for k, at in enumerate(sorted(hubs)) for i in at], dtype=np.int64).reshape(-1, 2)
+        self.hubs = len(hubs)
 
     SIZE = 17
 
@@ -158,9 +172,11 @@ class Model:
         given = t.base > 0
         score[given] = 0.0
         score[given, t.base[given]] = EVIDENCE
-        edges = np.concatenate([t.chain, t.skip])
+        n = len(score)
+        edges = np.concatenate([t.chain, t.skip + [0, n]])
         if not len(edges):
             return _softmax(score)
+        score = np.concatenate([score, np.zeros((t.hubs, k))])
         pot = np.concatenate([np.repeat(self.chain[None], len(t.chain), 0), np.repeat(self.skip[None], len(t.skip), 0)])
         a = np.concatenate([edges[:, 0], edges[:, 1]])
         b = np.concatenate([edges[:, 1], edges[:, 0]])
@@ -175,10 +191,12 @@ class Model:
             top = out.max(axis=1, keepdims=True)
             new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
             new -= new.max(axis=1, keepdims=True)
-            msg = 0.5 * msg + 0.5 * new
+            change, msg = np.abs(new - msg).max(), 0.4 * msg + 0.6 * new
+            if change < SETTLED:
+                break
         belief = score.copy()
         np.add.at(belief, b, msg)
-        return _softmax(belief)
+        return _softmax(belief[:n])
 
     def added(self, t: Tokens, spans: list[Span]) -> list[Span]:
         """Spans of tokens that got a label only here: runs of neighbours with one label."""
@@ -211,23 +229,84 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def other_writing(kind: str, find: str) -> str | None:
+    """A find as the patterns would not see it: a phone number without its country code, a card number with dots, an email without its domain's end."""
+    if kind == "phone":
+        rest = find.lstrip("+")
+        cut = next((i for i, c in enumerate(rest) if not "0" <= c <= "9"), 1 if len(rest) < 12 else 2)
+        return rest[cut:].lstrip(" .-") or None
+    if kind == "card":
+        d = _digits(find)
+        return ".".join(d[i : i + 4] for i in range(0, len(d), 4))
+    if kind == "email":
+        return find[: find.index(".", find.index("@"))]
+    return None
+
+
+def with_other_writings(text: str, rng: random.Random) -> tuple[str, list[Span], list[Span]]:
+    """A text with its finds in other writings, and with random ones of the same shapes; with the spans of both."""
+    own, strange = [], []
+    for kind, a, b in base_spans(text):
+        if again := other_writing(kind, text[a:b]):
+            like = re.sub("[0-9]", lambda _: str(rng.randrange(10)), again)
+            like = re.sub("[a-z]", lambda _: rng.choice("abcdefghijklmnopqrstuvwxyz"), like)
+            own.append((kind, again))
+            if kind != "email":  # a random name before an at sign is an email too
+                strange.append((kind, like))
+    lines = [(True, *x) for x in own] + [(False, *x) for x in strange]
+    rng.shuffle(lines)
+    good: list[Span] = []
+    bad: list[Span] = []
+    for mine, kind, line in lines:
+        text += " then "
+        (good if mine else bad).append((kind, len(text), len(text) + len(line)))
+        text += line
+    return text + " end", good, bad
+
+
+def _training_rows(text: str, seed: int) -> Iterator[tuple[bytes, int]]:
+    """(what a token's label may hang on, label) for the tokens of a text with other writings."""
+    text, good, _ = with_other_writings(text, random.Random(seed))
+    t = Tokens(text, base_spans(text) + good)
+    n, k = len(t.base), len(LABELS)
+    seen = np.zeros((n, 3 * k), np.int64)
+    for i, j in t.chain.tolist():
+        seen[j, t.base[i]] += 1
+        seen[i, k + t.base[j]] += 1
+    totals = np.zeros((t.hubs, k), np.int64)
+    np.add.at(totals, (t.skip[:, 1], t.base[t.skip[:, 0]]), 1)
+    for i, h in t.skip.tolist():
+        others = totals[h].copy()
+        others[t.base[i]] -= 1
+        seen[i, 2 * k + (int(others[1:].argmax()) + 1 if others[1:].any() else 0)] += 1
+    for i in range(n):
+        yield np.concatenate([t.x[i], np.minimum(seen[i], 9)]).astype(np.int8).tobytes(), int(t.base[i])
+
+
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: how often feature vectors have a base label, and counts of label pairs on edges."""
+    """How often what a label may hang on goes with each label."""
     for batch in batches:
+        rows: dict[tuple[bytes, int], int] = {}
         for text in batch.column(0).to_pylist():
-            t = Tokens(text or "", base_spans(text or ""))
-            if not len(t.base):
-                continue
-            rows: dict[tuple, int] = {}
-            for x, y in zip(t.x.astype(np.int8).tolist(), t.base.tolist()):
-                key = ("u", bytes(x).hex(), y)
+            for key in _training_rows(text or "", zlib.crc32((text or "").encode("utf-8", "surrogatepass"))):
                 rows[key] = rows.get(key, 0) + 1
-            for name, edges in (("c", t.chain), ("s", t.skip)):
-                for i, j in edges.tolist():
-                    key = (name, f"{t.base[i]}", int(t.base[j]))
-                    rows[key] = rows.get(key, 0) + 1
-            what, key, label = zip(*rows)
-            yield pa.record_batch({"what": list(what), "key": list(key), "label": pa.array(label, pa.int64()), "n": pa.array(rows.values(), pa.int64())})
+        if rows:
+            keys, labels = zip(*rows)
+            yield pa.record_batch({"key": pa.array(keys, pa.binary()), "label": pa.array(labels, pa.int64()), "n": pa.array(rows.values(), pa.int64())})
+
+
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Ridge multinomial logistic regression: steps of Newton's method on each label in turn."""
+    k = len(LABELS)
+    w = np.zeros((x.shape[1], k))
+    ridge = RIDGE * np.eye(x.shape[1])
+    for _ in range(30):
+        for j in range(1, k):
+            p = _softmax(x @ w)[:, j]
+            grad = x.T @ (weight * (p - (y == j))) + RIDGE * w[:, j]
+            hess = (x.T * (weight * (p * (1 - p) + 1e-6))) @ x + ridge
+            w[:, j] -= np.clip(np.linalg.solve(hess, grad), -3, 3)
+    return w
 
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
@@ -238,30 +317,14 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
         return None
     share = min(1.0, max_train / n)
     sample = likely.where(F.pmod(F.xxhash64("doc_id", F.lit("pii")), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    stats = sample.mapInArrow(_statistics, "what string, key string, label long, n long").groupBy("what", "key", "label").agg(F.sum("n").alias("n")).collect()
-    unary = [r for r in stats if r.what == "u"]
-    if not unary:
+    stats = sample.mapInArrow(_statistics, "key binary, label long, n long").groupBy("key", "label").agg(F.sum("n").alias("n")).orderBy("key", "label").collect()
+    if not any(r.label for r in stats):
         return None
     k = len(LABELS)
-    x = np.array([list(bytes.fromhex(r.key)) for r in unary], dtype=np.float64)
-    y = np.eye(k)[[r.label for r in unary]]
-    weight = np.array([r.n for r in unary], dtype=np.float64)[:, None]
-    w = np.zeros((x.shape[1], k))
-    rate = 2.0 / weight.sum()
-    for _ in range(400):
-        w -= rate * (x.T @ (weight * (_softmax(x @ w) - y)) + 0.5 * w)
-    pair = {name: np.full((k, k), 0.5) for name in "cs"}
-    for r in stats:
-        if r.what in "cs":
-            pair[r.what][int(r.key), r.label] += r.n
-    potentials = {}
-    for name, c in pair.items():
-        joint = c / c.sum()
-        pmi = np.log(joint / (joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True)))
-        potentials[name] = np.clip(pmi, -4, 4)
-    # a skip edge rewards agreement on personal data by what the texts show, but never penalises a lone label twice
-    skip = np.where(np.eye(k, dtype=bool), np.maximum(potentials["s"], 0) + np.array([0, 1, 1, 1, 1.0]) * 2, np.minimum(potentials["s"], 0))
-    return Model(w, potentials["c"], skip)
+    x = np.array([np.frombuffer(bytes(r.key), np.int8) for r in stats], dtype=np.float64)
+    w = _fit(x, np.array([r.label for r in stats]), np.array([r.n for r in stats], dtype=np.float64))
+    unary, before, after, skip = np.split(w, [Tokens.SIZE, Tokens.SIZE + k, Tokens.SIZE + 2 * k])
+    return Model(unary, (before + after.T) / 2, skip.T)
 
 
 def _joined(spans: list[Span]) -> str:
