@@ -345,6 +345,18 @@ def test_toxicity(spark, odd, empty):
     assert {r.score < 0.3 for r in toxicity.score(odd, none).collect()} == {True} and toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_of_misspelled_and_quoted_terms(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    held = docs.join(labels.select("doc_id", "toxic"), "doc_id").where("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2").select("text", "toxic").collect()
+    one, features, rng = model.scorer(), toxicity.Features(toxicity.Automaton(model.entries), model.known), random.Random(5)
+    misspelled = [x for r in held if r.toxic for x, _, weight in toxicity.examples(r.text, True, features, rng) if weight < 1]
+    quoted = [f'{r.text} he said "{rng.choice(model.entries)[0]}" then' for r in held if not r.toxic]
+    assert len(misspelled) > 50 and np.mean([one(x) >= toxicity.THRESHOLD for x in misspelled]) > 0.9
+    assert len(quoted) > 500 and np.mean([one(x) >= toxicity.THRESHOLD for x in quoted]) < 0.05
+    assert one("you are an idixt") >= toxicity.THRESHOLD > one('he said "idiot" to her')
+
+
 def test_toxicity_drops_copies_alone(spark):
     rng = np.random.default_rng(4)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, 80)) for _ in range(200)]

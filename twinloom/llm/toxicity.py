@@ -4,10 +4,13 @@ The lexicon is learned from labelled texts: words, and stems with many endings,
 that occur in toxic texts far more than in others. A token is run through the
 product of the lexicon's trie and a Levenshtein automaton, built state by state
 as tokens need it, which finds the least number of edits to any entry in one walk
-over the token's letters. Around each hit a window of tokens tells quotation
-(between quotation marks, or after a verb of saying) from abuse. The hits of a
-text, by kind, edits and context, are the features of a logistic model fitted to
-the labels; it sees the text and nothing else.
+over the token's letters. Entries of five letters and more tolerate edits; a word
+that several clean texts hold is no misspelling. Around each hit a window of
+tokens tells quotation (between quotation marks, or after a verb of saying) from
+abuse. The hits of a text, by kind, edits and context, are the features of a
+logistic model fitted to the labels; it sees the text and nothing else. Labels
+seldom show misspelled or quoted abuse: toxic texts are also learned from with
+their hits misspelled, and clean ones with a quoted hit put in.
 
 Edge cases: null and empty texts have no hits and get the score of such texts;
 rows without a label are not learned from, an id labelled twice is toxic if one
@@ -17,7 +20,9 @@ empty table gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,18 +33,19 @@ from pyspark.sql import functions as F
 
 from twinloom.llm.common import id_remainder
 from twinloom.llm.ngram_join import _sketch, shingles
+from twinloom.storage import written
 
 #: Labelled texts that the classifier is fitted to (about; chosen by a hash of the id).
 MAX_TRAIN = 20_000
 #: Copies among them are found by sets of minimum hashes of shingles: sets, and hashes in each (4 bytes a hash).
 BANDS, BAND = 4, 3
-#: Entries of the lexicon at most, and how many times likelier (by a cautious estimate) one is in toxic texts.
-MAX_ENTRIES = 2_000
+#: How many times likelier (by a cautious estimate) an entry of the lexicon is in toxic texts.
 MIN_RATIO = 15
 STEM_LENGTHS = range(3, 11)
-#: Only entries with this share of the largest weight tolerate edits; what one and two edits leave of a weight.
-FUZZY_SHARE = 0.75
+#: What one and two edits leave of a weight.
 EDITED = (0.95, 0.85)
+#: Clean texts from which a word is known as no misspelling, and what a made-up example weighs.
+KNOWN_TEXTS, MADE_UP = 2, 0.5
 WINDOW = 6
 THRESHOLD = 0.3
 #: Characters that stand for letters in disguised words.
@@ -79,8 +85,7 @@ class Automaton:
     def __init__(self, entries: list[tuple[str, bool, float]]):
         """``entries``: (text, whether it is a stem, weight)."""
         self.entries = sorted(entries)
-        top = max((x[2] for x in entries), default=0.0)
-        self.edits = [edits_for(w, stem) if x >= FUZZY_SHARE * top else 0 for w, stem, x in self.entries]
+        self.edits = [edits_for(w, stem) for w, stem, _ in self.entries]
         self.child: list[dict[str, int]] = [{}]
         self.allow = [0]
         self.word = [-1]  # the entry that ends at a node
@@ -178,21 +183,22 @@ class Features:
 
     SIZE = 9
 
-    def __init__(self, automaton: Automaton):
-        self.automaton = automaton
+    def __init__(self, automaton: Automaton, known: frozenset[str] = frozenset()):
+        """``known``: words that are near an entry but no misspellings of it."""
+        self.automaton, self.known = automaton, known
         self.clean: set[str] = set()
         self.hits: dict[str, tuple[int, int]] = {}
 
     def __getstate__(self):
-        return {"automaton": self.automaton}
+        return {"automaton": self.automaton, "known": self.known}
 
     def __setstate__(self, state):
-        self.__init__(state["automaton"])
+        self.__init__(state["automaton"], state["known"])
 
     def _find(self, token: str) -> None:
         found = None
         word = bare(token)
-        if word:
+        if word and word not in self.known:
             found = self.automaton.match(word)
             if found is None and not word.isalpha():
                 plain = word.translate(DISGUISES)
@@ -203,6 +209,12 @@ class Features:
         else:
             self.hits[token] = found
 
+    def hit(self, token: str) -> tuple[int, int] | None:
+        """(edits, entry) of a token of :func:`fold`, or None."""
+        if token not in self.clean and token not in self.hits:
+            self._find(token)
+        return self.hits.get(token)
+
     @staticmethod
     def _quoted(tokens: list[str], i: int) -> bool:
         around = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
@@ -317,7 +329,32 @@ def _lexicon(terms: list) -> list[tuple[str, bool, float]]:
     return out + [(w, False, r.weight) for w, r in whole.items() if not any(w.startswith(s) for s in chosen)]
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def misspelled(word: str, edits: int, rng: random.Random) -> str:
+    """``word`` after random edits: another letter, a letter twice, a letter less."""
+    for _ in range(edits):
+        i = rng.randrange(1, max(2, len(word)))
+        what = rng.randrange(3)
+        word = word[:i] + (rng.choice("abcdefghijklmnopqrstuvwxyz") if what == 0 else word[i - 1] + word[i : i + 1] if what == 1 else "") + word[i + 1 :]
+    return word
+
+
+def examples(text: str | None, toxic: bool, features: Features, rng: random.Random) -> Iterator[tuple[str, bool, float]]:
+    """(text, label, weight): a labelled text, and what is made up from it."""
+    yield text or "", toxic, 1.0
+    entries = features.automaton.entries
+    tokens = fold(text)
+    if toxic:
+        found = [features.hit(t) for t in tokens]
+        edits = [features.automaton.edits[f[1]] if f and not f[0] else 0 for f in found]
+        if any(edits):
+            yield " ".join(misspelled(t, rng.randint(1, e), rng) if e else t for t, e in zip(tokens, edits)), True, MADE_UP
+    elif entries and rng.random() < 0.1:
+        word = rng.choice(entries)[0]
+        at = rng.randrange(len(tokens) + 1)
+        yield " ".join([*tokens[:at], "said", f'"{word}"', *tokens[at:]]), False, MADE_UP
+
+
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Ridge logistic regression by Newton's method; the last weight is the constant."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
@@ -325,8 +362,8 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     ridge[-1] = 1e-3
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + np.diag(ridge), grad)
+        grad = x.T @ (weight * (p - y)) + ridge * w
+        step = np.linalg.solve((x.T * (weight * (p * (1 - p) + 1e-9))) @ x + np.diag(ridge), grad)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -334,13 +371,13 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """The lexicon's automaton and the weights of the features."""
+    """The lexicon, words that only look like its entries, and the weights of the features."""
 
-    def __init__(self, entries: list[tuple[str, bool, float]], weights: np.ndarray):
-        self.entries, self.weights = entries, weights
+    def __init__(self, entries: list[tuple[str, bool, float]], weights: np.ndarray, known: frozenset[str] = frozenset()):
+        self.entries, self.weights, self.known = entries, weights, known
 
     def scorer(self):
-        features, weights = Features(Automaton(self.entries)), self.weights
+        features, weights = Features(Automaton(self.entries), self.known), self.weights
 
         def score(text: str | None) -> float:
             z = float(np.clip(features(text) @ weights[:-1] + weights[-1], -30, 30))
@@ -367,25 +404,36 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int | N
         if not toxic:
             return Model([], np.concatenate([np.zeros(Features.SIZE), [-3.0]]))
         terms = sample.mapInArrow(_term_counts, "term string, whole boolean, toxic long, other long").groupBy("term", "whole")
-        terms = terms.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+        terms = written(terms.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "terms")
         sure = F.greatest(F.col("toxic") - F.sqrt("toxic"), F.lit(0.0)) / toxic  # a standard error less
         most = (F.col("other") + F.sqrt(F.col("other") + 1)) / max(1, other)  # and one more
         strong = terms.withColumn("ratio", sure / most).where(F.col("ratio") >= MIN_RATIO)
         strong = strong.select("term", "whole", "toxic", F.least(F.ln("ratio"), F.lit(7.0)).alias("weight"))
-        entries = _lexicon(strong.orderBy(F.col("weight").desc(), "term", "whole").limit(MAX_ENTRIES * 4).collect())[:MAX_ENTRIES]
+        entries = _lexicon(strong.orderBy(F.col("weight").desc(), "term", "whole").collect())  # terms of max_train texts
         automaton = Automaton(entries)
 
-        def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            f = Features(automaton)
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = [f(t).tolist() for t in batch.column(0).to_pylist()]
-                yield pa.record_batch({"x": pa.array(x, pa.list_(pa.float64())), "toxic": batch.column(1)})
+                yield batch.filter(pa.array([(automaton.match(w) or (0, 0))[0] > 0 for w in batch.column(0).to_pylist()], pa.bool_()))
+
+        plain = terms.where(F.col("whole") & (F.col("other") >= KNOWN_TEXTS)).select("term")
+        known = frozenset(r.term for r in plain.mapInArrow(near, "term string").collect())
 
-        rows = sample.mapInArrow(features, "x array<double>, toxic boolean").collect()  # max_train short rows
+        def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            f = Features(automaton, known)
+            for batch in batches:
+                rows = []
+                for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    rng = random.Random(zlib.crc32((text or "").encode("utf-8", "surrogatepass")))
+                    rows += [(f(t).tolist(), y, w) for t, y, w in examples(text, toxic, f, rng)]
+                x, y, w = zip(*rows) if rows else ((), (), ())
+                yield pa.record_batch({"x": pa.array(x, pa.list_(pa.float64())), "toxic": pa.array(y, pa.bool_()), "weight": pa.array(w, pa.float64())})
+
+        rows = sample.mapInArrow(features, "x array<double>, toxic boolean, weight double").collect()  # max_train short rows, and made-up ones
     finally:
         sample.unpersist()
     x, y = np.array([r.x for r in rows]), np.array([r.toxic for r in rows], dtype=np.float64)
-    return Model(entries, _fit(x, y))
+    return Model(entries, _fit(x, y, np.array([r.weight for r in rows])), known)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
