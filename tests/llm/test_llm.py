@@ -464,6 +464,34 @@ def test_secret_scan_learns_from_rare_secrets(spark):
     assert {(r.label, r.score >= secrets.THRESHOLD) for r in forest.score(found).collect()} == {(0, False), (1, True)}
 
 
+def test_secret_candidates_are_those_of_a_plain_scan(spark, docs):
+    extra = [(-1, 'a="Zm9vYmFyYmF6cXV4Mg==";b=abcdefghijkl;c=ABCDEFGHIJKL', None, "p", None), (-2, "  x\tlong_name_1234567890/then:value-0123456789ab  ", None, None, None), (-3, None, None, None, None)]
+    every = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long"))
+    expected = []
+    for r in every.collect():
+        tokens_ = re.split(r"[\x20\x09-\x0D]+", (r.text or "").strip(" \t\n\x0b\x0c\r"))
+        for i, token in enumerate(tokens_):
+            expected += [(r.doc_id, r.source, i, run) for run in re.findall(r"[A-Za-z0-9+/_-]{12,}", token) if re.search(r"[0-9]|[A-Z]{12}", run)]
+    found = [(r.doc_id, r.path, r.word, r.value) for r in secrets.candidates(every).collect()]
+    assert len(found) > 10 and sorted(found, key=repr) == sorted(expected, key=repr)
+
+
+def test_secret_forest_on_planted_findings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = secrets.labelled_by_rule(secrets.candidates(docs)).persist()
+    forest = secrets.train(found.where("doc_id % 4 <> 1"))
+    held = forest.score(secrets.nameless(found.where("doc_id % 4 = 1"))).toPandas()  # the cue that gave the label is hidden
+    assert ((held.score >= secrets.THRESHOLD) == (held.label == 1)).mean() > 0.9
+    rng = random.Random(2)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    harmless = [f"see commit {some('0123456789abcdef', 40)} for more" for _ in range(50)] + [f"invoice {some('0123456789', 13)} was sent" for _ in range(50)]
+    secret = [f"then api_key={some(alnum, 32)} was set" for _ in range(50)] + [f"password: {some(alnum, 20)}" for _ in range(50)]
+    df = spark.createDataFrame([(i, t, "web") for i, t in enumerate(harmless + secret)], "doc_id long, text string, source string")
+    marked = {r.doc_id for r in secrets.scan(df, forest).where("is_secret").collect()}
+    assert len([i for i in marked if i < 100]) <= 5 and len([i for i in marked if i >= 100]) >= 90
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

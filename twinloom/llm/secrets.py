@@ -6,8 +6,16 @@ character classes, changes between them, distinct characters, how much of it a
 dictionary covers, the path it stands in, and the words around it.
 
 The forest is trained from labelled findings: candidates with a 0/1 label. Where
-no human labels exist, :func:`labelled_by_rule` makes findings from formats and
-assignments that are certain; the forest sees neither rule.
+no human labels exist, :func:`labelled_by_rule` makes findings from one format
+and from assignments to a secret's name. Such a name is also among the features;
+so that the forest does not merely repeat the rule it learns from each finding
+twice, as it stands and with the name it is assigned to hidden (:func:`nameless`).
+
+Corpora may lack whole kinds of harmless identifiers, so :func:`made_up` findings
+of some are learned from as well.
+
+Candidates are never written to a shared folder: the bounded sample that is
+trained on is held in memory, and the result has digests in place of values.
 
 Edge cases: null and empty texts have no candidates; a null path is a path of its
 own; rows that repeat are scanned each; without findings of both labels the score
@@ -20,15 +28,17 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinloom.llm.common import SPACES
-from twinloom.storage import written
 
 #: Findings that the forest is trained on (about; chosen by a hash, up to half of them for the rarer label), and words of its dictionary.
 MAX_TRAIN = 4_000
 MAX_WORDS = 1_000
+#: Made-up findings of each label.
+MADE_UP = 200
 TREES, DEPTH = 40, 8
 THRESHOLD = 0.5
 #: Characters of the words before a token that go with its second run and later ones (its first has them whole).
@@ -124,6 +134,28 @@ def labelled_by_rule(found: DataFrame) -> DataFrame:
     return found.withColumn("label", (F.col("value").rlike(ACCESS_KEY) | (named & mixed)).cast("int"))
 
 
+def made_up(spark: SparkSession, n: int = MADE_UP) -> DataFrame:
+    """``n`` findings of harmless identifiers and as many of secrets, with labels and without a path."""
+    x = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")).cast("binary"), 512)
+    kind = F.col("id") % 5
+    digits = F.translate(x("d"), "abcdef", "012345")
+    mixed = F.regexp_replace(F.base64(F.unhex(x("m"))), "[+/=]", "")
+    dashes = F.concat_ws("-", *[F.substring(x("u"), a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    names = lambda *words: F.element_at(F.array(*map(F.lit, words)), (kind + 1).cast("int"))
+    harmless = F.when(kind == 0, F.substring(x("h"), 1, 40)).when(kind == 1, F.substring(x("h"), 1, 64)).when(kind == 2, dashes).when(kind == 3, F.substring(digits, 1, 14)).otherwise(F.substring(x("h"), 1, 32))
+    secret = F.when(kind < 2, F.substring(mixed, 1, 32)).when(kind == 2, F.substring(mixed, 1, 20)).when(kind == 3, F.substring(x("s"), 1, 32)).otherwise(F.concat(F.lit("AKIA"), F.upper(F.substring(x("s"), 1, 16))))
+    shared = [(-1 - F.col("id")).alias("doc_id"), F.lit(0).cast("long").alias("word"), F.lit(None).cast("string").alias("path")]
+    rows = spark.range(n)
+    return rows.select(
+        *shared, harmless.alias("value"), names("the commit ", "with checksum sha256:", "its uuid ", "your order ", "digest md5=").alias("before"), F.lit("was seen").alias("after"), F.lit(0).alias("label")
+    ).unionByName(rows.select(*shared, secret.alias("value"), names("the api_key=", "auth token: ", "password=", "client_secret=", "access key ").alias("before"), F.lit("was seen").alias("after"), F.lit(1).alias("label")))
+
+
+def nameless(found: DataFrame) -> DataFrame:
+    """``found`` without the names and signs that its values are assigned by."""
+    return found.withColumn("before", F.regexp_replace("before", r"[\w.-]*[\"']?\s*[=:]+\s*[\"']?$", ""))
+
+
 class Forest:
     """The dictionary, and the trained forest or (without one) a constant score."""
 
@@ -145,30 +177,35 @@ def train(findings: DataFrame, max_train: int = MAX_TRAIN, seed: int = 7) -> For
     Each label is drawn at its own rate, so that rare secrets stay in the sample; weights of one by that rate keep the
     labels' shares as they are among all findings.
     """
-    sized = written(findings.where("label is not null").select("doc_id", "word", "path", "value", "before", "after", "label"), "findings")
-    n = {r.label: r["count"] for r in sized.groupBy("label").count().collect()}
+    labelled = findings.where("label is not null").select("doc_id", "word", "path", "value", "before", "after", "label")
+    n = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
     total, secret = sum(n.values()), n.get(1, 0)
     if not secret or secret == total:
         return Forest([], None, float(bool(secret)))
     rarer = min(n, key=n.get)
     share = min(n[rarer], max_train // 2)
-    rate = {x: min(1.0, (share if x == rarer else max_train - share) / n[x]) for x in n}
+    rate = {x: min(1.0, (share if x == rarer else max_train - share) / n[x]) for x in n} if total > max_train else dict.fromkeys(n, 1.0)
     own_rate = F.when(F.col("label") == rarer, rate[rarer]).otherwise(rate[1 - rarer])
     kept = F.pmod(F.xxhash64("doc_id", "word", "value", "before"), F.lit(1_000_000_000)) < own_rate * 1_000_000_000
-    sample = written(sized.where(kept), "sample") if total > max_train else sized
-    word = F.explode(F.split(F.lower(F.concat("before", F.lit(" "), "after")), "[^a-z]+")).alias("w")
-    common = sample.select(word).where(F.length("w").between(3, 20)).groupBy("w").count().orderBy(F.col("count").desc(), "w").limit(MAX_WORDS)
-    dictionary = [r.w for r in common.collect()]
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="_x").transform(with_features(sample, dictionary)).select(
-        "_x", F.col("label").cast("double").alias("label"), (F.lit(1.0) / own_rate if total > max_train else F.lit(1.0)).alias("weight")
-    )
-    rows = rows.sort("label", F.hash(vector_to_array("_x"))).coalesce(1)  # max_train rows, in one order whatever the layout
-    forest = RandomForestClassifier(
-        featuresCol="_x", labelCol="label", weightCol="weight", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y", numTrees=TREES, maxDepth=DEPTH, seed=seed
-    )
-    if rows.select("label").distinct().count() < 2:
-        return Forest([], None, secret / total)
-    return Forest(dictionary, forest.fit(rows), secret / total)
+    sample = labelled.where(kept).persist(StorageLevel.MEMORY_ONLY)  # about max_train rows; never on disk
+    try:
+        word = F.explode(F.split(F.lower(F.concat("before", F.lit(" "), "after")), "[^a-z]+")).alias("w")
+        common = sample.select(word).where(F.length("w").between(3, 20)).groupBy("w").count().orderBy(F.col("count").desc(), "w").limit(MAX_WORDS)
+        dictionary = [r.w for r in common.collect()]
+        every = sample.select("*", (F.lit(1.0) / own_rate).alias("weight")).unionByName(made_up(findings.sparkSession).withColumn("weight", F.lit(1.0)))
+        both = every.unionByName(nameless(every))
+        rows = VectorAssembler(inputCols=FEATURES, outputCol="_x").transform(with_features(both, dictionary)).select(
+            "_x", F.col("label").cast("double").alias("label"), "weight"
+        )
+        rows = rows.sort("label", F.hash(vector_to_array("_x"))).coalesce(1)  # twice max_train rows, in one order whatever the layout
+        forest = RandomForestClassifier(
+            featuresCol="_x", labelCol="label", weightCol="weight", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y", numTrees=TREES, maxDepth=DEPTH, seed=seed
+        )
+        if rows.select("label").distinct().count() < 2:
+            return Forest([], None, secret / total)
+        return Forest(dictionary, forest.fit(rows), secret / total)
+    finally:
+        sample.unpersist()
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD, path_col: str = "source") -> DataFrame:
@@ -176,7 +213,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRES
 
     Without a forest one is trained from the table's own certain findings.
     """
-    found = written(candidates(docs, path_col), "candidates")
+    found = candidates(docs, path_col)
     forest = forest or train(labelled_by_rule(found))
     return forest.score(found).select(
         "doc_id",
