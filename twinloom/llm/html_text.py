@@ -2,8 +2,10 @@
 
 A tree is built from the tags, closing and opening what HTML implies; what
 browsers do not show is left out (head, scripts, templates, comments, ``hidden``,
-``display:none`` inline or by a simple rule of the page's own style sheet, closed
-``details`` and ``dialog``). Blocks are set apart by line breaks, paragraphs and
+closed ``details`` and ``dialog``, and what ``display`` and ``visibility`` hide,
+inline or by the rules of the page's own style sheets that select by one tag,
+class or id; the last rule of the highest rank wins, and rules for other media
+than a screen of 1280 pixels do not count). Blocks are set apart by line breaks, paragraphs and
 the like by an empty line; list items have marks and indentation; the cells of a
 table are padded to columns, also below cells that span rows; ``pre`` keeps its
 white space. Of drawings and formulas their texts are shown, a line for each text
@@ -62,8 +64,10 @@ BOUNDS = frozenset("table td th caption html body button".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_PARTS = re.compile(r"[{};]|[^{};]+")
+_WIDTH = re.compile(r"(min|max)-width\s*:\s*(\d+)\s*px", re.I)
+SCREEN = 1280
 _SIMPLE = re.compile(r"^([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?$", re.I)
 _SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _MARKS = str.maketrans("", "", "\x01\x02\x03")
@@ -71,10 +75,10 @@ _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "visible")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.visible = tag, attrs, [], True
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -116,9 +120,9 @@ def build(html: str) -> tuple[Node, str]:
                 return
             open_[-1].children.append(unescape(text))
 
-    n = len(html)
+    n, last = len(html), html.rfind(">")
     while at < n:
-        m = _TAG.search(html, at)
+        m = _TAG.search(html, at) if at <= last or html.find("<!", at) >= 0 else None
         if not m:
             add_text(html[at:])
             break
@@ -171,40 +175,97 @@ def build(html: str) -> tuple[Node, str]:
     return root, "\n".join(styles)
 
 
-def hidden_by(css: str) -> tuple[set[str], set[str], set[tuple[str, str]]]:
-    """Tags, and (tag or "", ".class" or "#id"), that simple rules of a style sheet hide."""
-    tags: set[str] = set()
-    marks: set[tuple[str, str]] = set()
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
-        if _HIDES.search(body):
-            for s in selectors.split(","):
-                m = _SIMPLE.match(s.strip())
-                if m and m[2]:
-                    marks.add(((m[1] or "").lower(), m[2] + m[3]))
-                elif m and m[1]:
-                    tags.add(m[1].lower())
-    return tags, marks
+def _on_screen(query: str) -> bool:
+    """Whether a media query, or one of its list, holds for a screen of SCREEN pixels."""
+    for q in query.lower().split(","):
+        turned = q.strip().startswith("not ")
+        other = re.search(r"\b(print|speech|aural|braille|embossed|handheld|projection|tty|tv)\b", q)
+        fits = not other and all((SCREEN >= int(n)) if kind == "min" else (SCREEN <= int(n)) for kind, n in _WIDTH.findall(q))
+        if fits != turned:
+            return True
+    return False
+
+
+def rules_of(css: str) -> dict[str, list[tuple]]:
+    """Rules that show or hide, by the tag, ".class" or "#id" they select: (rank, required tag, property, value)."""
+    out: dict[str, list[tuple]] = {}
+    level: list[bool] = []  # whether the at-rules around hold
+    before, order, skip = "", 0, 0
+    body: list[str] | None = None
+    for part in _PARTS.findall(re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S)):
+        if part == "{":
+            head = before.strip()
+            before = ""
+            if head.startswith("@") and body is None:
+                name = head[1:].split(None, 1)[0].split("(")[0].lower() if len(head) > 1 else ""
+                level.append(name in ("supports", "layer", "container", "scope") or name == "media" and _on_screen(head[6:]))
+                skip += name not in ("media", "supports", "layer", "container", "scope")
+            elif body is None:
+                selectors, body = head, []
+            else:
+                skip += 1  # nested rules select more narrowly than one tag, class or id
+                level.append(False)
+        elif part == "}":
+            if body is not None and not (level and skip and not level[-1] and before is None):
+                body.append(before)
+                if all(level):
+                    found = _DECLARED.findall(";".join(body))
+                    for s in selectors.split(",") if found else ():
+                        m = _SIMPLE.match(s.strip())
+                        if m and (m[1] or m[2]):
+                            order += 1
+                            rank = {"#": 100, ".": 10}.get(m[2], 0) + bool(m[1])
+                            key = m[2] + m[3] if m[2] else m[1].lower()
+                            for prop, value, important in found:
+                                out.setdefault(key, []).append(((bool(important), rank, order), (m[1] or "").lower(), prop.lower(), value.lower()))
+                body = None
+            elif level:
+                level.pop()
+            before = ""
+        elif part == ";":
+            if body is not None:
+                body.append(before)
+            before = ""
+        else:
+            before += part
+    return out
 
 
 class Layout:
     """Text of a tree. Lines are gathered in ``out``; ``gap`` is what must stand before the next piece."""
 
     def __init__(self, css: str):
-        self.tags, self.marks = hidden_by(css) if css else (set(), set())
+        self.rules = rules_of(css) if css else {}
 
-    def shown(self, node: Node) -> bool:
-        if node.tag in NOT_SHOWN or node.tag in self.tags:
-            return False
+    def style(self, node: Node) -> dict[str, str]:
+        """The values of display and visibility that are declared for a node."""
+        best: dict[str, tuple] = {}
         a = node.attrs
-        if not a and not self.marks:
-            return node.tag != "dialog"
-        if "hidden" in a or (node.tag == "dialog" and "open" not in a) or _HIDES.search(a.get("style", "")):
+        if self.rules:
+            for key in (node.tag, *("." + c for c in a.get("class", "").split()), "#" + a.get("id", "")):
+                for rank, tag, prop, value in self.rules.get(key, ()):
+                    if tag in ("", node.tag) and best.get(prop, ((False, -1, 0),))[0] < rank:
+                        best[prop] = rank, value
+        if "style" in a:
+            for i, (prop, value, important) in enumerate(_DECLARED.findall(a["style"])):
+                rank = bool(important), 1000, i
+                if best.get(prop.lower(), ((False, -1, 0),))[0] < rank:
+                    best[prop.lower()] = rank, value.lower()
+        return {k: v for k, (_, v) in best.items()}
+
+    def shown(self, node: Node, visible: bool) -> bool:
+        """Whether a node takes part, given whether what is around it is visible; sets whether its own text is."""
+        node.visible = visible
+        if node.tag in NOT_SHOWN:
             return False
-        if self.marks:
-            names = ["." + c for c in a.get("class", "").split()] + (["#" + a["id"]] if "id" in a else [])
-            if any((t, x) in self.marks for t in ("", node.tag) for x in names):
-                return False
-        return True
+        a = node.attrs
+        hidden = "hidden" in a or (node.tag == "dialog" and "open" not in a)
+        if not a and not self.rules:
+            return not hidden
+        style = self.style(node)
+        if "visibility" in style:
+            node.visible = style["visibility"] not in ("hidden", "collapse") if style["visibility"] != "inherit" else visible
+        return style["display"] != "none" if "display" in style else not hidden
 
     def text(self, node: Node) -> str:
         pieces: list[str] = []
@@ -239,13 +300,15 @@ class Layout:
                 gap = 0
                 out.append(p)
         text = "".join(out)
-        return re.sub(r" +\n", "\n", text).strip(" ").strip("\n") if out else ""
+        return re.sub(r" +\n", "\n", text).rstrip(" ").strip("\n") if out else ""
 
     def flow(self, node: Node, out: list[str], pre: bool) -> None:
         for child in node.children:
             if isinstance(child, str):
+                if not node.visible:
+                    continue
                 out.append(child.replace("\r\n", "\n").translate(_MARKS) if pre else _SPACE.sub(" ", child).translate(_MARKS))
-            elif self.shown(child):
+            elif self.shown(child, node.visible):
                 self.element(child, out, pre)
 
     def element(self, node: Node, out: list[str], pre: bool) -> None:
@@ -259,12 +322,12 @@ class Layout:
         if tag == "hr":
             out.append("---")
         elif tag == "table":
-            out.append(self.table(node))
+            out.append("\x03" + self.table(node))
         elif tag in ("ul", "ol", "menu", "dir"):
             out.append(self.listing(node))
         elif tag == "details" and "open" not in node.attrs:
             for c in node.children:
-                if isinstance(c, Node) and c.tag == "summary":
+                if isinstance(c, Node) and c.tag == "summary" and self.shown(c, node.visible):
                     self.flow(c, out, pre)
         elif tag == "dd":
             out.append("\x03  " + self.text(node).replace("\n", "\n  "))
@@ -273,7 +336,7 @@ class Layout:
             self.flow(node, inner, True)
             out.append("\x03" + "".join(x.lstrip("\x03") for x in inner if x not in ("\x01", "\x02")).strip("\n"))
         elif tag in STACKED:
-            for i, c in enumerate(c for c in node.children if isinstance(c, Node) and self.shown(c)):
+            for i, c in enumerate(c for c in node.children if isinstance(c, Node) and self.shown(c, node.visible)):
                 out.append(" " if i else "")
                 self.element(c, out, pre)
         elif tag == "q":
@@ -292,10 +355,10 @@ class Layout:
         lines = []
         for child in node.children:
             if isinstance(child, str):
-                if child.strip():
-                    lines.append(_SPACE.sub(" ", child).strip())
+                if child.strip() and node.visible:
+                    lines.append(_SPACE.sub(" ", child).translate(_MARKS).strip())
                 continue
-            if not self.shown(child):
+            if not self.shown(child, node.visible):
                 continue
             text = self.text(child)
             if child.tag != "li":
@@ -304,9 +367,12 @@ class Layout:
                 if text := self.join(inner):
                     lines.append("  " + text.replace("\n", "\n  "))
                 continue
+            if re.fullmatch(r"-?\d{1,9}", child.attrs.get("value", "")):
+                number = int(child.attrs["value"])
             mark = f"{number}. " if ordered else "- "
             number += 1
-            lines.append(mark + re.sub(r"\n\n+", "\n", text).replace("\n", "\n" + " " * len(mark)))
+            if text or child.visible:
+                lines.append(mark + re.sub(r"\n\n+", "\n", text).replace("\n", "\n" + " " * len(mark)))
         return "\n".join(lines)
 
     def table(self, node: Node) -> str:
@@ -317,18 +383,18 @@ class Layout:
         def visit(n: Node) -> None:
             for c in n.children:
                 if isinstance(c, str):
-                    if c.strip():
-                        before.append(_SPACE.sub(" ", c).strip())
-                elif not self.shown(c):
+                    if c.strip() and n.visible:
+                        before.append(_SPACE.sub(" ", c).translate(_MARKS).strip())
+                elif not self.shown(c, n.visible):
                     continue
                 elif c.tag == "tr":
                     cells: list[str] = []
                     below: dict[int, int] = {}
                     for x in c.children:
                         if isinstance(x, str):
-                            if x.strip():
-                                before.append(_SPACE.sub(" ", x).strip())
-                        elif self.shown(x):
+                            if x.strip() and c.visible:
+                                before.append(_SPACE.sub(" ", x).translate(_MARKS).strip())
+                        elif self.shown(x, c.visible):
                             while len(cells) < len(spans) and spans[len(cells)]:
                                 cells.append("")
                             column = len(cells)
@@ -353,12 +419,15 @@ class Layout:
                         before.append(text)
 
         visit(node)
+        for r in rows:
+            while r and not r[-1].strip():
+                r.pop()
         width: list[int] = []
         for r in rows:
             width += [0] * (len(r) - len(width))
             for i, cell in enumerate(r):
                 width[i] = max(width[i], len(cell))
-        lines = [" | ".join(cell.ljust(width[i]) for i, cell in enumerate(r)).rstrip(" |") for r in rows]
+        lines = [" | ".join(cell.ljust(width[i]) for i, cell in enumerate(r)).rstrip(" ") for r in rows]
         return "\n".join(before + [x for x in lines if x])
 
 
