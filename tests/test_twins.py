@@ -9,6 +9,7 @@ from twinloom.operators.generate import generate, retained
 from twinloom.operators.profile import UnsupportedColumnError, profile
 from twinloom.operators.ranking import ranked
 from twinloom.sources.io import default_output, read_provenance, read_table, write_twin
+from twinloom.storage import written
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +93,23 @@ def test_files_and_cli(spark, table, tmp_path, capsys):
     assert "Fidelity" in open(page).read()
     write_twin(generate(table, "id", seed=1), f"{tmp_path}/t.parquet")
     assert read_table(spark, f"{tmp_path}/t.parquet").count() == 600
+
+
+def test_dates_and_missing_numbers(spark):
+    """Dates and times take part in every score; NaN and infinity are missing values."""
+    i = F.col("id")
+    real = spark.range(300).select(
+        i, F.date_add(F.lit("2020-01-01").cast("date"), (i * 7 % 365).cast("int")).alias("day"), F.timestamp_seconds(i * 86_401).alias("at"),
+        F.timestamp_seconds(i * 977).cast("timestamp_ntz").alias("local"), F.when(i % 9 == 0, float("nan")).when(i % 11 == 0, float("inf")).otherwise(F.sin(i)).alias("x"),
+    )
+    spec = {s.name: s for s in profile(real)}
+    missing = real.where("isnan(x) or abs(x) = double('inf')").count()
+    assert spec["x"].nulls == missing and spec["x"].high <= 1 and spec["day"].kind == "continuous"
+    twin = written(generate(real, "id", seed=3).df, "dated")
+    assert dict(twin.dtypes)["day"] == "date" and twin.where("isnan(x)").count() == 0
+    assert abs(twin.where("x is null").count() - missing) < 40
+    scores = evaluate(real, twin, "id", n_attacks=30, n_reps=1, seed=3).first()
+    for value in [*scores.fidelity, *scores.privacy]:
+        assert value is not None and 0 <= value <= 100
+    for low, high in scores.intervals:
+        assert 0 <= low <= high <= 1

@@ -5,18 +5,19 @@ from __future__ import annotations
 import html
 import secrets as random_source
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.operators import fidelity, privacy
 from twinloom.operators.baseline import shuffle_columns
-from twinloom.operators.profile import ColumnSpec, profile
+from twinloom.operators.profile import ColumnSpec, as_numbers, profile
 from twinloom.storage import written
 
 SINGLING_SHARE = 0.75
 RESULT = (
     "seed long, fidelity struct<mean:double,variance:double,correlation:double,ks:double,composite:double>, "
-    "privacy struct<singling_out:double,linkability:double,inference:double,composite:double>"
+    "privacy struct<singling_out:double,linkability:double,inference:double,composite:double>, "
+    "intervals struct<singling_out:struct<low:double,high:double>,linkability:struct<low:double,high:double>,inference:struct<low:double,high:double>>"
 )
 
 
@@ -39,26 +40,35 @@ def fidelity_scores(real: DataFrame, twin: DataFrame, shuffled: DataFrame, numbe
     return out
 
 
-def attack_rates(real: DataFrame, twin: DataFrame, specs: list[ColumnSpec], key: str, seed: int, n_attacks: int, n_secrets: int, n_reps: int, n_neighbors: int, n_aux_cols: int) -> dict[str, float | None]:
-    """Success rates of the three attacks on one twin."""
+def _rate(outcomes: DataFrame, hits: Column, tries: Column) -> tuple[float | None, tuple[float | None, float | None]]:
+    """Success rate of an attack, and the bounds of its Wilson interval."""
+    low, high = privacy.wilson(F.sum(hits), F.nullif(F.sum(tries), F.lit(0)))
+    row = outcomes.agg(F.try_divide(F.sum(hits), F.sum(tries)).alias("rate"), low.alias("low"), high.alias("high")).first()
+    return row.rate, (row.low, row.high)
+
+
+def attack_rates(real: DataFrame, twin: DataFrame, specs: list[ColumnSpec], key: str, seed: int, n_attacks: int, n_secrets: int, n_reps: int, n_neighbors: int, n_aux_cols: int) -> dict[str, tuple | None]:
+    """Success rates of the three attacks on one twin, each with its interval; null where an attack isn't defined."""
     names = [s.name for s in specs]
-    out: dict[str, float | None] = dict.fromkeys(("singling_out", "linkability", "inference"))
+    out: dict[str, tuple | None] = dict.fromkeys(("singling_out", "linkability", "inference"))
     if not names:
         return out
+    one = F.lit(1)
     wide = privacy.draw(names, max(1, round(SINGLING_SHARE * len(names))), seed, "single")
     found = privacy.singling_out(real, twin, specs, key, wide, privacy.medians(real, specs, wide), n_attacks, seed)
-    out["singling_out"] = found.agg(F.avg((F.col("matches") == 1).cast("double"))).first()[0]
+    out["singling_out"] = _rate(found, (F.col("matches") == 1).cast("int"), one)
     if len(names) > 1:
         aux = privacy.draw(names, min(n_aux_cols, len(names)), seed, "aux")
         half = (len(aux) + 1) // 2
         hits = privacy.linkability(real, twin, specs, key, aux[:half], aux[half:] or aux[:1], n_attacks, n_neighbors, seed)
-        out["linkability"] = hits.agg(F.avg(F.col("hit").cast("double"))).first()[0]
+        out["linkability"] = _rate(hits, F.col("hit"), one)
         parts = None
         for rep in range(n_reps):
             secret = privacy.draw(names, min(n_secrets, len(names)), seed, f"secret:{rep}")
-            one = privacy.inference(real, twin, specs, key, names, secret, n_attacks, seed, rep)
-            parts = one if parts is None else parts.unionByName(one)
-        out["inference"] = parts.agg(F.avg(F.try_divide("hits", "n"))).first()[0] if parts is not None else None
+            found = privacy.inference(real, twin, specs, key, names, secret, n_attacks, seed, rep)
+            parts = found if parts is None else parts.unionByName(found)
+        # every replicate attacks equally many rows, so that this is the mean of the replicates' rates
+        out["inference"] = _rate(parts, F.col("hits"), F.col("n")) if parts is not None else None
     return out
 
 
@@ -76,13 +86,17 @@ def _mean(values) -> float | None:
 def evaluate(
     real: DataFrame, twin: DataFrame, key: str, columns: list[str] | None = None, skip_privacy: bool = False, n_attacks: int = 500, n_secrets: int = 5, n_reps: int = 10, n_neighbors: int = 1, n_aux_cols: int = 20, seed: int | None = None
 ) -> DataFrame:
-    """One row: four fidelity and three privacy scores (0 to 100), privacy relative to a column-shuffled table."""
+    """One row: four fidelity and three privacy scores (0 to 100), privacy relative to a column-shuffled table.
+
+    Dates and times are compared as numbers; NaN and infinity are missing values.
+    ``intervals`` are the Wilson intervals of the attacks' success rates on the twin.
+    """
     seed = random_source.randbits(32) if seed is None else seed
     specs = _usable(real, twin, key, columns)
     names = [s.name for s in specs]
     numbers = [s.name for s in specs if s.kind == "continuous" or s.type.typeName() not in ("string", "boolean")]
-    numbers = [c for c in numbers if dict((s.name, s.type.typeName()) for s in specs)[c] not in ("date", "timestamp", "timestamp_ntz")]
-    twin = written(twin.select(key, *names), "twin")  # read by every metric, made once
+    real, twin = as_numbers(real.select(key, *names), key), as_numbers(twin.select(key, *names), key)
+    twin = written(twin, "twin")  # read by every metric, made once
     shuffled = written(shuffle_columns(real, key, names, seed), "shuffled") if names else real
     f = fidelity_scores(real, twin, shuffled, numbers)
     f["composite"] = _mean(f.values())
@@ -90,9 +104,10 @@ def evaluate(
     if not skip_privacy:
         args = (specs, key, seed, n_attacks, n_secrets, n_reps, n_neighbors, n_aux_cols)
         rates, base = attack_rates(real, twin, *args), attack_rates(real, shuffled, *args)
-        p = {m: score(rates[m], base[m]) for m in rates}
+        p = {m: score(rates[m] and rates[m][0], base[m] and base[m][0]) for m in rates}
         p["composite"] = _mean(p.values())
-    return real.sparkSession.createDataFrame([(seed, f, None if skip_privacy else p)], RESULT)
+        intervals = {m: r and r[1] for m, r in rates.items()}
+    return real.sparkSession.createDataFrame([(seed, f, None if skip_privacy else p, None if skip_privacy else intervals)], RESULT)
 
 
 def certificate(scores: DataFrame, provenance: DataFrame, title: str = "Twin certificate") -> str:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from twinloom import __version__
 from twinloom.functions.rng import hash_normal, hash_uniform, normal_cdf, normal_quantile
 from twinloom.operators.fidelity import pairwise
-from twinloom.operators.profile import ColumnSpec, as_double, profile
+from twinloom.operators.profile import ColumnSpec, as_double, finite, profile
 
 KNOTS = 101
 RIDGE = 1e-6
@@ -130,12 +130,13 @@ def generate(df: DataFrame, key: str | list[str], k: int = 2, mix_prob: float =
     """A twin with a row for each row of ``df``.
 
     ``key`` names columns that make rows unique; they seed the row's noise and are
-    kept as they are (or dropped). Text with more than 50 values is left out, and
+    kept as they are (or dropped). NaN and infinity count as nulls. Text with more than 50 values is left out, and
     constant or all-null columns are copied.
     """
     if k < 1 or not 0 <= mix_prob <= 1:
         raise ValueError("k is 1 or more and mix_prob from 0 to 1")
     keys = [key] if isinstance(key, str) else list(key)
+    df = finite(df)
     seed = secrets.randbits(32) if seed is None else seed
     names = [c for c in (columns or df.columns) if c not in keys]
     specs = [s for s in profile(df, names) if s.kind != "identifier"]

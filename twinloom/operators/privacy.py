@@ -133,7 +133,7 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the Wilson interval of a rate."""
     p = hits / n
     mid, half = (p + z * z / (2 * n)), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return (mid - half) / (1 + z * z / n), (mid + half) / (1 + z * z / n)
+    return F.greatest((mid - half) / (1 + z * z / n), F.lit(0.0)), F.least((mid + half) / (1 + z * z / n), F.lit(1.0))
 
 
 def normalised(rate: Column, base: Column) -> Column:

@@ -35,8 +35,10 @@ class ColumnSpec:
 
 
 def as_double(name: str, kind: T.DataType) -> Column:
-    """Numbers as they are, dates as days and timestamps as seconds of the epoch; null for others."""
+    """Numbers as they are, dates as days and timestamps as seconds of the epoch; null for others, and for NaN and infinity."""
     c = F.col(f"`{name}`")
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        return F.when(F.abs(c) < float("inf"), c.cast("double"))
     if isinstance(kind, T.NumericType):
         return c.cast("double")
     if isinstance(kind, T.BooleanType):
@@ -50,6 +52,19 @@ def as_double(name: str, kind: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
+def finite(df: DataFrame) -> DataFrame:
+    """``df`` with null for NaN and infinity: to all operators they are missing values."""
+    floats = [f for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    return df.withColumns({f.name: as_double(f.name, f.dataType).cast(f.dataType) for f in floats})
+
+
+def as_numbers(df: DataFrame, but: str) -> DataFrame:
+    """``df`` with dates and times as numbers, and null for what is not finite; the column ``but`` stays."""
+    kinds = (T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    changed = [f for f in df.schema.fields if isinstance(f.dataType, kinds) and f.name != but]
+    return df.withColumns({f.name: as_double(f.name, f.dataType) for f in changed})
+
+
 def profile(df: DataFrame, columns: list[str] | None = None) -> list[ColumnSpec]:
     """One pass for counts and moments, and one for the exact number of values of columns that have few."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
@@ -59,7 +74,7 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> list[ColumnSpec]
     aggs = [F.count("*").alias("n")]
     for i, f in enumerate(fields):
         x = as_double(f.name, f.dataType)
-        c = F.col(f"`{f.name}`")
+        c = x if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f"`{f.name}`")
         aggs += [
             F.count(c).alias(f"c{i}"), F.approx_count_distinct(c, 0.02).alias(f"a{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"),
             F.avg(x).alias(f"m{i}"), F.var_samp(x).alias(f"v{i}"), F.min((x == F.floor(x)).cast("int")).alias(f"w{i}"),

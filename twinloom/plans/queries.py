@@ -473,6 +473,24 @@ def evaluate_skip_privacy(spark, d):
     return r.select(*[rounded(f"fidelity.{c}", 5).alias(c) for c in ("mean", "variance", "ks")], F.col("privacy").isNull().alias("privacy_skipped"))
 
 
+_ORDERS_SQL = f"""real AS (SELECT o_totalprice AS price, epoch_us(o_orderdate) / 1e6 AS day FROM orders),
+twin AS (SELECT o_totalprice * (0.9 + 0.2 * {_U('price', 'o_orderkey')}) AS price, epoch_us(o_orderdate + to_days((o_orderkey % 30)::INT)) / 1e6 AS day FROM orders)"""
+
+
+def _orders_score(c: str) -> str:
+    return f"SELECT 100 * greatest(0.0, 1 - abs(avg(t.{c}) - avg(r.{c})) / stddev_samp(r.{c})) AS m, 100 * least(var_samp(r.{c}), var_samp(t.{c})) / greatest(var_samp(r.{c}), var_samp(t.{c})) AS v FROM real r POSITIONAL JOIN twin t"
+
+
+@query("evaluate_dates", f"WITH {_ORDERS_SQL} SELECT round(avg(m), 4) AS mean, round(avg(v), 4) AS variance FROM ({_orders_score('price')} UNION ALL {_orders_score('day')})")
+def evaluate_dates(spark, d):
+    """Fidelity of a twin of orders whose dates have moved by up to a month."""
+    real = _read(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("day"))
+    later = F.col("day") + F.make_dt_interval(days=(F.col("o_orderkey") % 30).cast("int"))
+    twin = real.select("o_orderkey", (F.col("price") * (0.9 + 0.2 * hash_uniform(SEED, "price", F.col("o_orderkey")))).alias("price"), later.alias("day"))
+    scores = evaluate(real, twin, "o_orderkey", skip_privacy=True, seed=SEED)
+    return scores.select(*[rounded(f"fidelity.{c}", 4).alias(c) for c in ("mean", "variance")])
+
+
 @query("provenance_row", f"SELECT {SEED}::BIGINT AS seed, 2 AS k, 0.75::DOUBLE AS mix_prob, count(*) AS n_rows, 3 AS n_cols FROM customer")
 def provenance_row(spark, d):
     return generate(_read(spark, d, "customer"), KEY, seed=SEED).provenance.select("seed", "k", "mix_prob", "n_rows", "n_cols")
