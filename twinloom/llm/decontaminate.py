@@ -2,8 +2,10 @@
 
 A benchmark item gives windows: every 13 consecutive words, or all its words if
 it has fewer. The hashes of the windows' first words form the set that is probed
-at every word of every training text; probes that hit carry their words along
-and are then verified word by word against the windows with that hash.
+at every word of every training text: a bit set of bounded size, broadcast with
+the tasks, which a row's own words are filtered by before they become rows. Probes
+that hit carry their words along and are then verified word by word against the
+windows with that hash. A larger benchmark lets more probes through, never fewer.
 
 Edge cases: null and empty texts have no words and are never contaminated; an
 empty benchmark leaves every count at 0; null item ids still mark words, but are
@@ -22,8 +24,13 @@ from twinloom.storage import written
 WINDOW = 13
 #: A probe takes so many of a window's first words at most; shorter windows have probes of their own length.
 PROBE = 6
-#: Up to so many distinct windows (about 10 MB) are broadcast, and filtered by before rows are made; beyond, they are shuffled.
-BROADCAST_WINDOWS = 50_000
+#: The bit set has BITS_PER_KEY bits a window or more, but so many bytes at most (multiples of 4096; each holds 7 bits, to be read as ASCII).
+BITS_PER_KEY = 28
+MIN_BYTES, MAX_BYTES = 2**16, 2**21
+#: Windows of so many bytes at most, as measured, are broadcast to the probes that hit; else those are shuffled, with the same result.
+BROADCAST_BYTES = 32 * 2**20
+#: Spark's bitmaps hold so many bits each.
+_BITMAP = 32768
 #: A word, in either case, and what separates it from the next.
 _PIECE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 _LEADING = r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
@@ -37,14 +44,33 @@ def windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     return each.groupBy("win").agg(F.collect_set("item").alias("items"))
 
 
-def _probe(m: int, n: int, known: list[int] | None) -> Column:
-    """The places in ``w`` whose next m words have a known hash (all places, if none are given), with n words each."""
+def bit_set(keys: DataFrame, n_keys: int) -> bytes:
+    """The bits of the keys, between MIN_BYTES and MAX_BYTES, put together from Spark's bitmaps of 4 KB each."""
+    size = MIN_BYTES
+    while size < MAX_BYTES and size * 7 < n_keys * BITS_PER_KEY:
+        size *= 2
+    bit = F.pmod("key", F.lit(size * 7))
+    at = F.floor(bit / 7) * 8 + bit % 7 + 1  # bitmaps count from 1
+    maps = keys.groupBy(F.bitmap_bucket_number(at).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    whole = bytearray(size)
+    for r in maps.collect():  # MAX_BYTES in all
+        whole[(r.n - 1) * _BITMAP // 8 : r.n * _BITMAP // 8] = r.bits
+    return bytes(whole)
+
+
+def in_bit_set(key: Column, bits: bytes) -> Column:
+    bit = F.pmod(key, F.lit(len(bits) * 7))
+    byte = F.substring(F.lit(bits), F.floor(bit / 7).cast("int") + 1, 1).cast("string")
+    return F.getbit(F.ascii(byte), (bit % 7).cast("int")) == 1
+
+
+def _probe(m: int, n: int, bits: bytes) -> Column:
+    """The places in ``w`` whose next m words are in the bit set, with n words each."""
     hit = F.transform(
         F.sequence(F.lit(1), F.size("w") - (m - 1)),
         lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("w", i, m)).alias("key")),
     )
-    if known is not None:
-        hit = F.filter(hit, lambda x: x["key"].isin(known))
+    hit = F.filter(hit, lambda x: in_bit_set(x["key"], bits))
     return F.transform(
         hit, lambda x: F.struct(F.lit(m).alias("m"), x["at"].alias("at"), x["key"].alias("key"), F.slice("w", x["at"], n).alias("win"))
     )
@@ -62,14 +88,16 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFra
     """
     wins = written(windows(benchmark, n).withColumn("m", F.least(F.size("win"), F.lit(PROBE))), "windows")
     keyed = wins.withColumn("key", F.expr("xxhash64(slice(win, 1, m))"))
-    few = wins.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    probes = [r.m for r in wins.select("m").distinct().collect()]  # PROBE values at most
+    n_bytes = F.sum(F.aggregate("win", F.lit(64).cast("long"), lambda acc, x: acc + 8 + F.octet_length(x)) + F.aggregate("items", F.lit(0).cast("long"), lambda acc, x: acc + 8 + F.octet_length(x)))
+    size = keyed.agg(F.count("*").alias("n"), n_bytes.alias("bytes"), F.collect_set("m").alias("m")).first()
+    probes = size.m  # PROBE values at most
+    side_hint = F.broadcast if (size.bytes or 0) <= BROADCAST_BYTES else (lambda df: df.hint("merge"))
+    bits = bit_set(keyed, size.n)
 
     none = F.array().cast("array<struct<m:int,at:int,key:bigint,win:array<string>>>")
     found = [none]
     for m in sorted(probes):
-        known = [r.key for r in keyed.where(F.col("m") == m).select("key").distinct().collect()] if few else None
-        found.append(F.when(F.size("w") >= m, _probe(m, n, known)).otherwise(none))
+        found.append(F.when(F.size("w") >= m, _probe(m, n, bits)).otherwise(none))
 
     read = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), words(F.col("text")).alias("w"))
     found_in = read.select(
@@ -92,7 +120,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFra
         & (F.col("hit.key") == F.col("wkey"))
         & (F.slice(F.col("hit.win"), 1, F.size("wwin")) == F.col("wwin"))
     )
-    joined = probed.join(F.broadcast(side) if few else side, match, "left")
+    joined = probed.join(side_hint(side), match, "left")
     span = F.struct((F.col("hit.at") - 1).alias("s"), (F.col("hit.at") - 1 + F.size("wwin")).alias("e"))
     return joined.groupBy("uid", "doc_id", "text_key", "n_words").agg(
         merged(F.collect_set(F.when(F.col("wwin").isNotNull(), span))).alias("spans"),
