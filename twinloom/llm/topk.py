@@ -9,7 +9,8 @@ Vectors are turned into integers, floor(1024 * x), and scores are their exact
 integer inner products. Edge cases: vectors that are null, or hold a null or a
 component that is not finite, take no part, and neither do vectors with another
 length than the query's; a query with fewer than k candidates gets them all;
-equal scores are ranked by the smaller id; rows that share the query's id are
+equal scores are ranked by the smaller id; scores beyond 2**62 either way, which
+components of some millions can give, count as that limit less 2; rows that share the query's id are
 its own row and no candidates; of several rows with one id the ranks are dealt
 over all, and a query id that repeats is answered for each distinct vector, in
 one ranking; null ids are never queries, and as candidates come first in ties.
@@ -32,6 +33,8 @@ BINS = 64
 #: A bin is narrow enough when a query has at most this many times k scores from it upward.
 SLACK = 8
 _FIRST = -(2**62)
+#: Scores lie within this: the counts by range work with their differences.
+_MOST = 2**62 - 1
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -60,15 +63,15 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products; floats are used where they are exact, as they are faster."""
+    """Exact integer products; floats are used where they are exact, as they are faster, and Python's integers where 64 bits may not do."""
     if not a.size or not b.size:
         return np.zeros((len(a), len(b)), np.int64)
-    most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1]
+    most = float(np.abs(a.astype(np.float64)).max()) * float(np.abs(b.astype(np.float64)).max()) * a.shape[1]
     if most < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if most < 2**63:
+    if most < _MOST:
         return a @ b.T
-    raise OverflowError("an inner product doesn't fit into 64 bits")
+    return np.clip(a.astype(object) @ b.astype(object).T, -_MOST + 1, _MOST - 1).astype(np.int64)
 
 
 class _Scores:
@@ -133,7 +136,7 @@ def _block(data: DataFrame, ids: np.ndarray, vectors: list[np.ndarray], k: int)
     n = len(ids)
     # |score| is at most the product of the norms; the largest norm of all rows is one aggregate
     top = data.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0]
-    bound = np.array([int(np.sqrt(float((v.astype(np.float64) ** 2).sum()) * (top or 0.0)) * 1.001) + 2 for v in vectors], dtype=np.int64)
+    bound = np.array([min(_MOST, int(np.sqrt(float((v.astype(np.float64) ** 2).sum()) * (top or 0.0)) * 1.001) + 2) for v in vectors], dtype=np.int64)
     low, width = -bound, (2 * bound) // BINS + 1
     open_, cut = np.ones(n, bool), np.full(n, _FIRST, np.int64)
     while open_.any():
@@ -193,7 +196,7 @@ WITH v AS (
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
-  FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS FIRST) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 """
