@@ -218,7 +218,9 @@ def test_decontamination_on_odd_tables(spark, odd, empty):
 def test_decontamination_without_broadcast(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = decontaminate.judged(decontaminate.find_hits(docs, bench)).select(*decontaminate.DIGEST).toPandas()
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 10)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 10)
+    monkeypatch.setattr(decontaminate, "MIN_BYTES", 4096)
+    monkeypatch.setattr(decontaminate, "MAX_BYTES", 4096)  # a bit set that lets most probes through
     assert rows(decontaminate.judged(decontaminate.find_hits(docs, bench)).select(*decontaminate.DIGEST).toPandas()) == rows(whole)
 
 
@@ -414,6 +416,20 @@ def test_stops_after_letters_that_become_marks():
         assert encoder.encode(text) == encoder._ids(text), ascii(text)
 
 
+def test_ids_are_those_of_the_tokenizer():
+    """Random texts over all kinds of letters, for a tokenizer that splits at spaces and for one that does not."""
+    import public_tokenizers
+
+    rng = random.Random(5)
+    letters = "aZé\u0130\u0958\u0301ßΣ7३ .,'’-\t\n\u00a0\u2028中🙂<|>"
+    for name, by_piece in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        encoder = tokens._Encoder(public_tokenizers.path(name))
+        assert encoder.by_piece == by_piece
+        for _ in range(5_000):
+            text = "".join(rng.choices(letters, k=rng.randrange(12)))
+            assert encoder.encode(text) == encoder._ids(text), ascii(text)
+
+
 def test_top_k_on_odd_tables(spark):
     v = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [1.0, None]), (4, [float("inf"), 1.0]), (5, [1.0, 2.0, 3.0]), (100, [-1.0, 0.5]), (100, [-1.0, 0.5]), (7, []), (8, [1.0, 2.0])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>")
@@ -423,6 +439,18 @@ def test_top_k_on_odd_tables(spark):
     assert topk.top_k(df.where("vec_id < 0"), "vec_id", "embedding").count() == 0
 
 
+def test_top_k_of_large_components_and_null_ids(spark):
+    big = [(0, [1e10, -1e10]), (1, [1e10, 3.0]), (2, [-1e10, 1e10]), (3, [2.0, 1.0]), (None, [2.0, 1.0]), (4, [1e300, 0.0])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    most = 2**62 - 2
+    exact = 1024 * 1024 * 10**10
+    found = [tuple(r)[1:] for r in topk.top_k(df, "vec_id", "embedding").orderBy("rank").collect()]
+    assert found == [(1, 1, most), (2, 4, most), (3, None, exact), (4, 3, exact), (5, 2, -most)]
+    small = df.where("embedding[0] < 1e9").union(spark.createDataFrame([(100, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+    sql = duck(ORACLE_SQL["op9_top_k"], {"embeddings": small.toPandas()})
+    assert rows(topk.top_k(small, "vec_id", "embedding").toPandas()) == rows(sql)
+
+
 def test_top_k_by_blocks_and_ties(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 2)
     rng = np.random.default_rng(2)

@@ -19,6 +19,7 @@ gives no shard; other columns are not looked at.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -109,8 +110,20 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+# The normalisers and the splitting pattern of the tokenizers whose pieces between white space are independent.
+_PIECE_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _splits_at_spaces(config: dict) -> bool:
+    """Whether a tokenizer lower-cases, and splits at white space before all else, as :class:`_Encoder` takes for granted."""
+    steps = (config.get("normalizer") or {}).get("normalizers", [])
+    first = ((config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return [x["type"] for x in steps] == _PIECE_NORMALIZERS and first.get("pattern") == {"Regex": _PIECE_PATTERN}
+
+
 class _Encoder(dict):
-    """White-space separated piece of text -> bytes of its ids. Pieces are independent of each other in this tokenizer."""
+    """White-space separated piece of text -> bytes of its ids, where pieces are independent; other tokenizers get whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -122,6 +135,7 @@ class _Encoder(dict):
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.letter = "H" if self.width == 2 else "I"
         self.apart: dict[str, bool] = {}
+        self.by_piece = _splits_at_spaces(json.loads(self.tokenizer.to_str()))
 
     def _apart(self, letter: str) -> bool:
         """Whether a stop after a letter is a pre-token of its own: a letter may become letter and mark, and mark and stop are one."""
@@ -147,7 +161,7 @@ class _Encoder(dict):
 
     def encode(self, text: str) -> bytes:
         # "<|" may begin a special token, which can span pieces; the others are white space to Python alone
-        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if not self.by_piece or "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self._ids(text)
         return b"".join(map(self.__getitem__, (text.lower() if text.isascii() else text).split()))
 
