@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,13 +54,16 @@ def _delete(spark: SparkSession, path: str) -> None:
 def release(*tables: DataFrame) -> None:
     """Deletes tables that :func:`written` returned and that nothing will read again.
 
-    The driver also drops what it holds of finished plans, whereupon Spark removes their shuffle files.
+    The driver also drops what it holds of finished plans, whereupon Spark removes their shuffle files. Plans that Python
+    let go of reach the JVM's garbage a moment later, so it is collected twice.
     """
     spark = SparkSession.active()
     for t in tables:
         _delete(spark, t.written_to)
     gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def clear(spark: SparkSession) -> None:
