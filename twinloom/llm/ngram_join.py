@@ -111,7 +111,7 @@ def shingles(text: str | None) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     ids = _word_ids
-    if len(ids) > 400_000:
+    if len(ids) > 100_000:
         ids.clear()
     for w in set(words).difference(ids):
         ids[w] = _hash_word(w)
@@ -137,15 +137,17 @@ def _digest(s: np.ndarray) -> bytes:
 
 def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests, sketches, sizes = [], [], []
-        for text in batch.column(2).to_pylist():
-            s = shingles(text)
-            sizes.append(len(s))
-            digests.append(_digest(s) if len(s) else None)
-            sketches.append(_sketch(s) if len(s) else None)
-        yield pa.record_batch(
-            {"doc_id": batch.column(0), "text_key": batch.column(1), "digest": pa.array(digests, pa.binary()), "size": pa.array(sizes, pa.int64()), "sketch": pa.array(sketches, pa.binary())}
-        )
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            digests, sketches, sizes = [], [], []
+            for text in part.column(2).to_pylist():
+                s = shingles(text)
+                sizes.append(len(s))
+                digests.append(_digest(s) if len(s) else None)
+                sketches.append(_sketch(s) if len(s) else None)
+            yield pa.record_batch(
+                {"doc_id": part.column(0), "text_key": part.column(1), "digest": pa.array(digests, pa.binary()), "size": pa.array(sizes, pa.int64()), "sketch": pa.array(sketches, pa.binary())}
+            )
 
 
 def _shingler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
