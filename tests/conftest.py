@@ -46,7 +46,7 @@ def rows(frame):
     cols = sorted(frame.columns)
 
     def one(x):
-        if x is None or x != x or str(x) == "<NA>":
+        if x is None or str(x) == "<NA>" or x != x:
             return None
         if isinstance(x, str) or hasattr(x, "isoformat"):
             return str(x)
