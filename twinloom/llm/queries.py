@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinloom.llm import decontaminate, html_text, mixing, ngram_join, pii, pitman_yor, secrets, tokens, topk, toxicity
+from twinloom.llm import decontaminate, fill_in_middle, html_text, line_dedup, mixing, ngram_join, pii, pitman_yor, secrets, tokens, topk, toxicity, vector_codes
 from twinloom.llm.common import id_remainder, read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -61,6 +61,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_errors(found.codes).select("vec_id", "code", "error", "label_error", F.lit(found.codebooks_sha256).alias("codebooks_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +92,9 @@ QUERIES = {
         op8_token_files,
         op9_top_k,
         op10_secret_scan,
+        op11_line_dedup,
+        op12_vector_codes,
+        op13_fill_in_middle,
     )
 }
 
@@ -81,4 +102,7 @@ ORACLE_SQL = {
     "op4_decontamination": decontaminate.DECONTAMINATE_SQL,
     "op6_source_mix": mixing.MIX_SQL,
     "op9_top_k": topk.TOP_K_SQL,
+    "op11_line_dedup": line_dedup.LINE_DEDUP_SQL,
+    "op12_vector_codes": vector_codes.VECTOR_CODES_SQL,
+    "op13_fill_in_middle": fill_in_middle.FILL_IN_MIDDLE_SQL,
 }
