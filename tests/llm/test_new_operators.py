@@ -202,3 +202,13 @@ def test_queries_at_the_small_scale(spark):
 
     for name in ("op11_line_dedup", "op13_fill_in_middle"):
         assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_personal_data_among_digits_of_other_scripts(spark):
+    """Digits that are no ASCII digits, in every place of a number, are no numbers and stop nothing."""
+    from twinloom.llm import pii
+
+    model = pii.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    texts = [f"see {s} here, mail a@b.c" for d in "²³¹٣१①Ⅳ𝟗" for s in (f"1.2.3.{d}", f"{d}.{d}.{d}.{d}", f"+1 {d}55 123 4567", f"4111 1111 1111 11{d}1", f"({d}12) 555-2485")]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert len(found) == len(texts) and all(r.n_email == 1 and r.n_ip == 0 for r in found)

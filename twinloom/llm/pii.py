@@ -150,7 +150,7 @@ class Tokens:
         d = _digits(word)
         letters = sum(c.isalpha() for c in word)
         parts = word.strip(".,;:()[]<>\"'").split(".")
-        four = len(parts) == 4 and all(p.isdigit() and len(p) <= 3 for p in parts)
+        four = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 for p in parts)  # other scripts have digits that are no numbers
         n = len(d)
         return np.array(
             [1, "@" in word, "@" in word and "." in word.rsplit("@", 1)[-1], four, four and all(int(p) <= 255 for p in parts),
