@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 CATEGORICAL_MAX = 10
 STRING_MAX = 50
-#: Columns with more distinct values than this by estimate are not counted exactly.
-COUNT_EXACTLY = 300
+#: Sketches of distinct values hold at least 2**8 of them, and are exact while they hold all.
+SKETCH = 8
 
 
 class UnsupportedColumnError(TypeError):
@@ -52,6 +52,20 @@ def as_double(name: str, kind: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
+def _value(name: str, kind: T.DataType) -> Column:
+    """What a sketch of distinct values takes: equal if and only if the values are. It ignores empty texts, so texts get a letter."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return as_double(name, kind)
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return (c.cast("int") if isinstance(kind, T.BooleanType) else c).cast("long")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("long")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    return F.concat(F.lit("v"), c.cast("string"))
+
+
 def finite(df: DataFrame) -> DataFrame:
     """``df`` with null for NaN and infinity: to all operators they are missing values."""
     floats = [f for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
@@ -66,7 +80,11 @@ def as_numbers(df: DataFrame, but: str) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str] | None = None) -> list[ColumnSpec]:
-    """One pass for counts and moments, and one for the exact number of values of columns that have few."""
+    """One pass for counts, moments and the number of values.
+
+    Distinct values are gathered in sketches that are exact up to 2**SKETCH values, more
+    than any cut asks for, and do not grow beyond.
+    """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     for f in fields:
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
@@ -76,12 +94,11 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> list[ColumnSpec]
         x = as_double(f.name, f.dataType)
         c = x if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f"`{f.name}`")
         aggs += [
-            F.count(c).alias(f"c{i}"), F.approx_count_distinct(c, 0.02).alias(f"a{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"),
+            F.count(c).alias(f"c{i}"), F.theta_sketch_estimate(F.theta_sketch_agg(_value(f.name, f.dataType), SKETCH)).alias(f"a{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"),
             F.avg(x).alias(f"m{i}"), F.var_samp(x).alias(f"v{i}"), F.min((x == F.floor(x)).cast("int")).alias(f"w{i}"),
         ]
     row = df.agg(*aggs).first()
-    few = [i for i in range(len(fields)) if row[f"a{i}"] <= COUNT_EXACTLY]
-    ndv = dict(zip(few, df.agg(*[F.count_distinct(F.col(f"`{fields[i].name}`")) for i in few]).first())) if few else {}
+    ndv = {i: row[f"a{i}"] for i in range(len(fields)) if row[f"a{i}"] <= STRING_MAX}
     out = []
     for i, f in enumerate(fields):
         n_values = ndv.get(i)

@@ -11,14 +11,16 @@ from twinloom.storage import written
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with its 0-based rank in the given order as column ``name``.
 
-    Rows are dealt by ranges of the order; a rank is the rank within the range
-    plus the number of rows in the ranges before, one number a partition.
+    Rows are dealt by ranges of the order and sorted there; Spark's row numbers then
+    hold the range and the place in it, and a rank is that place plus the number of
+    rows in the ranges before, one number a range. Rows move once.
     """
-    ranged = written(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "ranged")
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = written(sorted_.withColumn("_place", F.monotonically_increasing_id()), "ranged")
+    ranged = ranged.withColumns({"_pid": F.shiftright("_place", 33), "_place": F.col("_place").bitwiseAND(2**33 - 1)})
     counts = ranged.groupBy("_pid").agg(F.count("*").alias("_n"))
     before = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
-    return ranged.join(F.broadcast(before), "_pid").withColumn(name, F.col("_before") + own - 1).drop("_pid", "_before")
+    return ranged.join(F.broadcast(before), "_pid").withColumn(name, F.col("_before") + F.col("_place")).drop("_pid", "_place", "_before")
 
 
 def running_sums(df: DataFrame, group: str, order: str, sums: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinloom.functions.permutation import permutation_sql, round_keys
 from twinloom.functions.rng import hash_normal, hash_uniform, normal_quantile, normal_sql, quantile_sql, uniform_sql
 from twinloom.operators import fidelity, privacy
 from twinloom.operators.baseline import shuffle_columns
@@ -50,11 +51,13 @@ twin AS (SELECT {KEY}, (CASE WHEN {_U('pick')} < 0.2 THEN floor({_U('nation')} *
 
 
 def _shuffled_sql(table: str, key: str, columns: list[str], source: str) -> str:
-    parts = [f"{table}_k AS (SELECT {key}, row_number() OVER (ORDER BY {key}) AS r FROM {source})"]
+    """Each value goes to the permuted rank of its row."""
+    parts = [f"{table}_k AS (SELECT {key}, {', '.join(columns)}, row_number() OVER (ORDER BY {key}) - 1 AS r FROM {source})"]
     for c in columns:
-        parts.append(f"{table}_{c} AS (SELECT {c}, row_number() OVER (ORDER BY {uniform_sql(SEED, f'shuffle:{c}', key)}, {key}) AS r FROM {source})")
+        parts.append(permutation_sql(f"{table}_p_{c}", round_keys(SEED, f"shuffle:{c}"), f"{table}_k", f"(SELECT count(*) FROM {source})"))
+        parts.append(f"{table}_{c} AS (SELECT y AS r, {c} FROM {table}_k JOIN {table}_p_{c} USING (r))")
     joins = " ".join(f"JOIN {table}_{c} USING (r)" for c in columns)
-    return ", ".join(parts) + f", {table} AS (SELECT {key}, {', '.join(columns)} FROM {table}_k {joins})"
+    return ", ".join(parts) + f", {table} AS (SELECT {key}, {', '.join(f'{table}_{c}.{c}' for c in columns)} FROM {table}_k {joins})"
 
 
 SHUFFLED_SQL = _shuffled_sql("shuffled", KEY, COLS, "customer")
@@ -204,12 +207,12 @@ def row_id(spark, d):
     return ranked(_read(spark, d, "lineitem"), [F.col(c) for c in _ROW], "rid").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "rid")
 
 
-@query("shuffle_column", "WITH " + _shuffled_sql("s", "event_id", ["value"], "events") + " SELECT * FROM s")
+@query("shuffle_column", "WITH RECURSIVE " + _shuffled_sql("s", "event_id", ["value"], "events") + " SELECT * FROM s")
 def shuffle_column(spark, d):
     return shuffle_columns(_read(spark, d, "events"), "event_id", ["value"], SEED)
 
 
-@query("shuffle_table", f"WITH {SHUFFLED_SQL} SELECT * FROM shuffled")
+@query("shuffle_table", f"WITH RECURSIVE {SHUFFLED_SQL} SELECT * FROM shuffled")
 def shuffle_table(spark, d):
     return _shuffled(spark, d)
 
@@ -273,7 +276,7 @@ def _off(t: str) -> str:
     return "((" + " + ".join(f"abs((SELECT corr({a}, {b}) FROM e) - (SELECT corr({a}, {b}) FROM {t}))" for a, b in pairs) + ") / 3)"
 
 
-@query("fidelity_correlation", f"WITH {_EV}, {_NOISY}, {_shuffled_sql('s', 'event_id', _EVC, 'e')} SELECT round(100 * greatest(0.0, 1 - {_off('t')} / {_off('s')}), 6) AS score")
+@query("fidelity_correlation", f"WITH RECURSIVE {_EV}, {_NOISY}, {_shuffled_sql('s', 'event_id', _EVC, 'e')} SELECT round(100 * greatest(0.0, 1 - {_off('t')} / {_off('s')}), 6) AS score")
 def q_fid_corr(spark, d):
     e = _events(spark, d)
     return fidelity.fidelity_correlation(e, _noisy(spark, d), shuffle_columns(e, "event_id", _EVC, SEED), _EVC).select(rounded("score").alias("score"))
@@ -423,7 +426,7 @@ def inference_replicates(spark, d):
 _THREE = ["singling_out", "linkability", "inference"]
 
 
-@query("baseline_rates", f"WITH {ATTACKS_SQL} SELECT {', '.join(f'round({c}, 9) AS {c}' for c in _THREE)} FROM shuffled_rates")
+@query("baseline_rates", f"WITH RECURSIVE {ATTACKS_SQL} SELECT {', '.join(f'round({c}, 9) AS {c}' for c in _THREE)} FROM shuffled_rates")
 def baseline_rates(spark, d):
     return _rates(spark, d, _shuffled(spark, d)).select(*[rounded(c, 9).alias(c) for c in _THREE])
 
@@ -438,12 +441,12 @@ def _scores(spark, d):
     return t.crossJoin(b).select(*[rounded(privacy.normalised(F.col(c), F.col("b_" + c))).alias(c) for c in _THREE])
 
 
-@query("privacy_scores", f"WITH {ATTACKS_SQL} SELECT {', '.join(f'{_score_sql(c)} AS {c}' for c in _THREE)} FROM twin_rates t, shuffled_rates b")
+@query("privacy_scores", f"WITH RECURSIVE {ATTACKS_SQL} SELECT {', '.join(f'{_score_sql(c)} AS {c}' for c in _THREE)} FROM twin_rates t, shuffled_rates b")
 def privacy_scores(spark, d):
     return _scores(spark, d)
 
 
-@query("privacy_composite", f"WITH {ATTACKS_SQL}, s AS (SELECT {', '.join(f'{_score_sql(c)} AS {c}' for c in _THREE)} FROM twin_rates t, shuffled_rates b) SELECT round((singling_out + linkability + inference) / 3, 5) AS composite FROM s")
+@query("privacy_composite", f"WITH RECURSIVE {ATTACKS_SQL}, s AS (SELECT {', '.join(f'{_score_sql(c)} AS {c}' for c in _THREE)} FROM twin_rates t, shuffled_rates b) SELECT round((singling_out + linkability + inference) / 3, 5) AS composite FROM s")
 def privacy_composite(spark, d):
     return _scores(spark, d).select(rounded((F.col("singling_out") + F.col("linkability") + F.col("inference")) / 3, 5).alias("composite"))
 
