@@ -47,28 +47,29 @@ def _rate(outcomes: DataFrame, hits: Column, tries: Column) -> tuple[float | Non
     return row.rate, (row.low, row.high)
 
 
-def attack_rates(real: DataFrame, twin: DataFrame, specs: list[ColumnSpec], key: str, seed: int, n_attacks: int, n_secrets: int, n_reps: int, n_neighbors: int, n_aux_cols: int) -> dict[str, tuple | None]:
-    """Success rates of the three attacks on one twin, each with its interval; null where an attack isn't defined."""
+def attack_rates(real: DataFrame, twins: list[DataFrame], specs: list[ColumnSpec], key: str, seed: int, n_attacks: int, n_secrets: int, n_reps: int, n_neighbors: int, n_aux_cols: int) -> list[dict[str, tuple | None]]:
+    """Success rates of the three attacks on each twin, each with its interval; null where an attack isn't defined.
+
+    The attacked rows, medians and columns are drawn once and serve all twins.
+    """
     names = [s.name for s in specs]
-    out: dict[str, tuple | None] = dict.fromkeys(("singling_out", "linkability", "inference"))
+    out: list[dict[str, tuple | None]] = [dict.fromkeys(("singling_out", "linkability", "inference")) for _ in twins]
     if not names:
         return out
-    one = F.lit(1)
     wide = privacy.draw(names, max(1, round(SINGLING_SHARE * len(names))), seed, "single")
-    found = privacy.singling_out(real, twin, specs, key, wide, privacy.medians(real, specs, wide), n_attacks, seed)
-    out["singling_out"] = _rate(found, (F.col("matches") == 1).cast("int"), one)
-    if len(names) > 1:
-        aux = privacy.draw(names, min(n_aux_cols, len(names)), seed, "aux")
-        half = (len(aux) + 1) // 2
-        hits = privacy.linkability(real, twin, specs, key, aux[:half], aux[half:] or aux[:1], n_attacks, n_neighbors, seed)
-        out["linkability"] = _rate(hits, F.col("hit"), one)
-        parts = None
-        for rep in range(n_reps):
-            secret = privacy.draw(names, min(n_secrets, len(names)), seed, f"secret:{rep}")
-            found = privacy.inference(real, twin, specs, key, names, secret, n_attacks, seed, rep)
-            parts = found if parts is None else parts.unionByName(found)
-        # every replicate attacks equally many rows, so that this is the mean of the replicates' rates
-        out["inference"] = _rate(parts, F.col("hits"), F.col("n")) if parts is not None else None
+    middle = privacy.medians(real, specs, wide)
+    secrets = {rep: privacy.draw(names, min(n_secrets, len(names)), seed, f"secret:{rep}") for rep in range(n_reps)}
+    aux = privacy.draw(names, min(n_aux_cols, len(names)), seed, "aux")
+    half = (len(aux) + 1) // 2
+    samples = privacy.real_samples(real, specs, key, names, n_attacks, seed, list(secrets)) if len(names) > 1 else {}
+    for rates, twin in zip(out, twins):
+        found = privacy.singling_out(real, twin, specs, key, wide, middle, n_attacks, seed, most=2)
+        rates["singling_out"] = _rate(found, (F.col("matches") == 1).cast("int"), F.lit(1))
+        if len(names) > 1:
+            hits = privacy.linkability(real, twin, specs, key, aux[:half], aux[half:] or aux[:1], n_attacks, n_neighbors, seed, samples)
+            rates["linkability"] = _rate(hits, F.col("hit"), F.lit(1))
+            # every replicate attacks equally many rows, so that this is the mean of the replicates' rates
+            rates["inference"] = _rate(privacy.inference(real, twin, specs, key, names, secrets, n_attacks, seed, samples), F.col("hits"), F.col("n"))
     return out
 
 
@@ -103,7 +104,7 @@ def evaluate(
     p = dict.fromkeys(("singling_out", "linkability", "inference", "composite"))
     if not skip_privacy:
         args = (specs, key, seed, n_attacks, n_secrets, n_reps, n_neighbors, n_aux_cols)
-        rates, base = attack_rates(real, twin, *args), attack_rates(real, shuffled, *args)
+        rates, base = attack_rates(real, [twin, shuffled], *args)
         p = {m: score(rates[m] and rates[m][0], base[m] and base[m][0]) for m in rates}
         p["composite"] = _mean(p.values())
         intervals = {m: r and r[1] for m, r in rates.items()}

@@ -18,6 +18,7 @@ from twinloom.operators.fidelity import rounded
 from twinloom.operators.generate import at_quantile, category_at, cutpoints, generate, mixed, retained
 from twinloom.operators.profile import ColumnSpec, profile, profile_table
 from twinloom.operators.ranking import ranked
+from twinloom.storage import written
 
 SEED = 42
 KEY = "c_custkey"
@@ -120,17 +121,22 @@ def _rates_sql(twin: str) -> str:
 ATTACKS_SQL = f"{TWIN_SQL}, {SHUFFLED_SQL}, {RANGE_SQL}, {MEDIAN_SQL}, {_sample_sql('link', 'real', 'link')}, {_sample_sql('infer', 'real', 'infer:0')}, {_rates_sql('twin')}, {_rates_sql('shuffled')}"
 
 
-def _rates(spark, d, twin: DataFrame) -> DataFrame:
-    """One row: the success rates of the three attacks."""
-    real, specs = _customer(spark, d), _specs(spark, d)
-    s = privacy.singling_out(real, twin, specs, KEY, COLS, privacy.medians(real, specs, COLS), N_ATTACKS, SEED)
-    link = privacy.linkability(real, twin, specs, KEY, PART_A, PART_B, N_ATTACKS, 1, SEED)
-    inf = privacy.inference(real, twin, specs, KEY, COLS, COLS, N_ATTACKS, SEED)
-    return (
-        s.agg(F.avg((F.col("matches") == 1).cast("double")).alias("singling_out"))
-        .crossJoin(link.agg(F.avg(F.col("hit").cast("double")).alias("linkability")))
-        .crossJoin(inf.agg(F.avg(F.col("hits") / F.col("n")).alias("inference")))
-    )
+def _rates(spark, d, *twins: DataFrame) -> list[DataFrame]:
+    """One row a twin: the success rates of the three attacks."""
+    real, specs, out = _customer(spark, d), _specs(spark, d), []
+    middle = privacy.medians(real, specs, COLS)
+    samples = privacy.real_samples(real, specs, KEY, COLS, N_ATTACKS, SEED, [0])
+    for twin in twins:
+        twin = written(twin, "twin")
+        s = privacy.singling_out(real, twin, specs, KEY, COLS, middle, N_ATTACKS, SEED)
+        link = privacy.linkability(real, twin, specs, KEY, PART_A, PART_B, N_ATTACKS, 1, SEED, samples)
+        inf = privacy.inference(real, twin, specs, KEY, COLS, {0: COLS}, N_ATTACKS, SEED, samples)
+        out.append(
+            s.agg(F.avg((F.col("matches") == 1).cast("double")).alias("singling_out"))
+            .crossJoin(link.agg(F.avg(F.col("hit").cast("double")).alias("linkability")))
+            .crossJoin(inf.agg(F.avg(F.col("hits") / F.col("n")).alias("inference")))
+        )
+    return out
 
 
 def _shuffled(spark, d):
@@ -384,6 +390,13 @@ def singling_out_multivariate(spark, d):
     return privacy.singling_out(real, _twin(spark, d), specs, KEY, COLS, privacy.medians(real, specs, COLS), N_ATTACKS, SEED)
 
 
+@query("singling_out_saturated", f"WITH {TWIN_SQL}, {MEDIAN_SQL}, {_single_sql('s', 'twin', COLS)} SELECT p_{KEY}, least(matches, 2) AS matches FROM s")
+def singling_out_saturated(spark, d):
+    """What the score needs: none, one or more."""
+    real, specs = _customer(spark, d), _specs(spark, d)
+    return privacy.singling_out(real, _twin(spark, d), specs, KEY, COLS, privacy.medians(real, specs, COLS), N_ATTACKS, SEED, most=2)
+
+
 @query("gower_knn", f"WITH {TWIN_SQL}, {RANGE_SQL}, {_sample_sql('att', 'real', 'attack')}, {_near_sql('near', 'att', 'twin', COLS, 3)} SELECT a_{KEY}, rank::INT AS rank, dist, t_{KEY} FROM near")
 def gower_knn(spark, d):
     real = _customer(spark, d)
@@ -411,15 +424,13 @@ def _infer_rows(rep: int) -> str:
 
 @query("inference_attack", f"WITH {TWIN_SQL}, {RANGE_SQL}, {_infer_sql(0)} {_infer_rows(0)}")
 def inference_attack(spark, d):
-    return privacy.inference(_customer(spark, d), _twin(spark, d), _specs(spark, d), KEY, COLS, COLS, N_ATTACKS, SEED)
+    return privacy.inference(_customer(spark, d), _twin(spark, d), _specs(spark, d), KEY, COLS, {0: COLS}, N_ATTACKS, SEED)
 
 
 @query("inference_replicates", f"WITH {TWIN_SQL}, {RANGE_SQL}, {', '.join(_infer_sql(r) for r in range(3))}, x AS ({' UNION ALL '.join(_infer_rows(r) for r in range(3))}) SELECT secret, round(avg(hits / n::DOUBLE), 9) AS rate FROM x GROUP BY secret")
 def inference_replicates(spark, d):
     real, twin, specs = _customer(spark, d), _twin(spark, d), _specs(spark, d)
-    out = privacy.inference(real, twin, specs, KEY, COLS, COLS, N_ATTACKS, SEED, 0)
-    for rep in (1, 2):
-        out = out.unionByName(privacy.inference(real, twin, specs, KEY, COLS, COLS, N_ATTACKS, SEED, rep))
+    out = privacy.inference(real, twin, specs, KEY, COLS, dict.fromkeys(range(3), COLS), N_ATTACKS, SEED)
     return out.groupBy("secret").agg(rounded(F.avg(F.col("hits") / F.col("n")), 9).alias("rate"))
 
 
@@ -428,7 +439,7 @@ _THREE = ["singling_out", "linkability", "inference"]
 
 @query("baseline_rates", f"WITH RECURSIVE {ATTACKS_SQL} SELECT {', '.join(f'round({c}, 9) AS {c}' for c in _THREE)} FROM shuffled_rates")
 def baseline_rates(spark, d):
-    return _rates(spark, d, _shuffled(spark, d)).select(*[rounded(c, 9).alias(c) for c in _THREE])
+    return _rates(spark, d, _shuffled(spark, d))[0].select(*[rounded(c, 9).alias(c) for c in _THREE])
 
 
 def _score_sql(c: str) -> str:
@@ -436,8 +447,8 @@ def _score_sql(c: str) -> str:
 
 
 def _scores(spark, d):
-    t = _rates(spark, d, _twin(spark, d))
-    b = _rates(spark, d, _shuffled(spark, d)).select(*[F.col(c).alias("b_" + c) for c in _THREE])
+    t, b = _rates(spark, d, _twin(spark, d), _shuffled(spark, d))
+    b = b.select(*[F.col(c).alias("b_" + c) for c in _THREE])
     return t.crossJoin(b).select(*[rounded(privacy.normalised(F.col(c), F.col("b_" + c))).alias(c) for c in _THREE])
 
 
