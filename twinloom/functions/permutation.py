@@ -13,7 +13,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PRIME = 2**31 - 1
@@ -87,14 +87,20 @@ def permuted(df: DataFrame, rank: str, names: dict[str, Permutation]) -> DataFra
     a, b = next(iter(names.values())).sides
     out = df.withColumns({y: F.col(rank) for y in names})
     for walk in range(1 + max(p.walks for p in names.values())):
-        # each half round is a projection, so that its result is used twice and computed once
-        out = out.withColumns({f"_l{y}": F.expr(f"`{y}` div {b}L") for y in names} | {f"_r{y}": F.col(y) % b for y in names})
-        for i in range(HALF_ROUNDS):
-            to, by, side = ("_l", "_r", a) if i % 2 == 0 else ("_r", "_l", b)
-            out = out.withColumns({to + y: (F.col(to + y) + _mix(F.col(by + y), p.keys[i])) % side for y, p in names.items()})
-        moved = {y: F.col(f"_l{y}") * b + F.col(f"_r{y}") for y in names}
-        out = out.withColumns({y: m if walk == 0 else F.when(F.col(y) < p.n, F.col(y)).otherwise(m) for (y, m), p in zip(moved.items(), names.values())})
-    return out.drop(*[s + y for y in names for s in ("_l", "_r")])
+        steps, moved = [], []
+        for y, p in names.items():
+            # every half round is a name of its own, so that it is used twice and computed once
+            left, right = f"_{y}_l", f"_{y}_r"
+            steps += [f"{y} div {b}L AS {left}", f"{y} % {b}L AS {right}"]
+            for i, (factor, summand) in enumerate(p.keys):
+                by, side, old = (right, a, left) if i % 2 == 0 else (left, b, right)
+                steps += [f"({by} * {factor}L + {summand}L) % {PRIME}L AS _{y}_t{i}", f"({old} + _{y}_t{i} * _{y}_t{i} % {PRIME}L) % {side}L AS _{y}_{i}"]
+                left, right = (f"_{y}_{i}", right) if i % 2 == 0 else (left, f"_{y}_{i}")
+            at = f"{left} * {b}L + {right}"
+            moved.append((f"{at}" if walk == 0 else f"CASE WHEN {y} < {p.n}L THEN {y} ELSE {at} END") + f" AS _{y}_new")
+        kept = [f"`{c}`" for c in df.columns]
+        out = out.selectExpr("*", *steps, *moved).selectExpr(*kept, *[f"_{y}_new AS {y}" for y in names])
+    return out
 
 
 def permutation_sql(name: str, keys: list[tuple[int, int]], ranks: str, n: str) -> str:
