@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinloom.operators import gram
 from twinloom.operators.ranking import running_sums
 
-#: Expressions in one aggregate; more pairs take several passes.
-PAIRS_AT_ONCE = 1500
-
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, mean and variance, a row a column."""
@@ -38,19 +34,11 @@ def fidelity_variance(real: DataFrame, twin: DataFrame, columns: list[str]) -> D
 
 
 def pairwise(df: DataFrame, columns: list[str], what: str = "corr") -> DataFrame:
-    """a, b and corr (or covar) of every pair of columns, all pairs in one pass."""
-    f = {"corr": F.corr, "covar": F.covar_samp}[what]
-    pairs = list(combinations(columns, 2))
-    out: DataFrame | None = None
-    for lo in range(0, len(pairs), PAIRS_AT_ONCE):
-        parts = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), f(F.col(a).cast("double"), F.col(b).cast("double")).alias(what)) for a, b in pairs[lo : lo + PAIRS_AT_ONCE]
-        ]
-        piece = df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
-        out = piece if out is None else out.unionByName(piece)
-    if out is None:
+    """a, b and corr (or covar) of every pair of columns, all pairs in one pass; rows with both values count for a pair."""
+    if len(columns) < 2:
         raise ValueError("pairs need two columns")
-    return out
+    numbers = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    return gram.pairs(numbers, columns, what, centre=gram.near_means(numbers, numbers.columns))
 
 
 def fidelity_correlation(real: DataFrame, twin: DataFrame, shuffled: DataFrame, columns: list[str]) -> DataFrame:

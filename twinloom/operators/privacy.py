@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from twinloom.functions.rng import hash_uniform
 from twinloom.operators.neighbours import Question, encodable, matches_of, nearest_of
 from twinloom.operators.profile import ColumnSpec
+from twinloom.operators.quantiles import exact_quantiles
 
 MAX_ATTACKS = 10_000
 
@@ -119,9 +120,9 @@ def inference(real: DataFrame, twin: DataFrame, specs: list[ColumnSpec], key: st
 
 
 def medians(real: DataFrame, specs: list[ColumnSpec], columns: list[str]) -> dict[str, float]:
-    numbers = [s for s in specs if s.kind == "continuous" and s.name in columns]
-    row = real.agg(*[F.percentile_approx(F.col(s.name).cast("double"), 0.5, 10_000).alias(s.name) for s in numbers]).first() if numbers else {}
-    return {s.name: row[s.name] for s in numbers}
+    """The exact lower medians of the continuous columns."""
+    numbers = {s.name: F.col(f"`{s.name}`").cast("double") for s in specs if s.kind == "continuous" and s.name in columns}
+    return {c: q[1] for c, q in exact_quantiles(real, numbers, 2).items() if q}
 
 
 def singling_out(real: DataFrame, twin: DataFrame, specs: list[ColumnSpec], key: str, columns: list[str], middle: dict[str, float], n: int, seed: int, most: int | None = None) -> DataFrame:
