@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--k", type=int, default=2, help="passes; more: stronger privacy")
     g.add_argument("--mix-prob", type=float, default=0.75, help="0 to 1; higher: more private")
     g.add_argument("--seed", type=int)
+    g.add_argument("--surrogates", action="store_true", help="replace texts with many values one by one, instead of leaving them out")
     e = sub.add_parser("evaluate", help="score a twin")
     c = sub.add_parser("certify", help="write a certificate")
     for x in (e, c):
@@ -71,11 +72,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     df = read_table(spark, a.real)
     keyed, key = _keyed(df, a.key)
     if a.command == "generate":
-        result = generate(keyed, key, a.k, a.mix_prob, a.seed, keep_key=key != "_key")
+        loaded = time.time() - began
+        result = generate(keyed, key, a.k, a.mix_prob, a.seed, keep_key=key != "_key", surrogates=a.surrogates)
         out = a.output or default_output(a.real)
-        write_twin(result, out)
-        p = result.provenance.first()
-        print(as_json(result.provenance) if a.json else f"{out}: {p.n_rows} rows, {p.n_cols} columns, {time.time() - began:.1f} s, seed {p.seed}")
+        done = write_twin(result, out, load_seconds=round(loaded, 3))
+        p = done.first()
+        print(as_json(done) if a.json else f"{out}: {p.n_rows} rows x {p.n_cols} columns, load {p.load_seconds:.1f} s + run {p.run_seconds:.1f} s, seed {p.seed}")
         return 0
     options = {k: getattr(a, k) for k in ("skip_privacy", "n_attacks", "n_secrets", "n_reps", "n_neighbors", "n_aux_cols", "seed")}
     twin, _ = _keyed(read_table(spark, a.twin), a.key)

@@ -5,6 +5,7 @@ They do not depend on partitioning, and SQL engines with md5 give the same.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +54,19 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1 - upper).otherwise(upper)
 
 
+def normal_quantile_array(p: np.ndarray) -> np.ndarray:
+    tail = lambda t: _horner(t, _C) / (_horner(t, _D) * t + 1)
+    m = p - 0.5
+    middle = m * _horner(m * m, _A) / (_horner(m * m, _B) * m * m + 1)
+    return np.where(p < _LOW, tail(np.sqrt(-2 * np.log(p))), np.where(p > 1 - _LOW, -tail(np.sqrt(-2 * np.log(1 - p))), middle))
+
+
+def normal_cdf_array(z: np.ndarray) -> np.ndarray:
+    t = 1 / (1 + 0.2316419 * np.abs(z))
+    upper = np.exp(-z * z / 2) * 0.3989422804014327 * t * _horner(t, _P[::-1])
+    return np.where(z >= 0, 1 - upper, upper)
+
+
 def _sql_horner(x: str, coefficients) -> str:
     out = f"({coefficients[0]!r})"
     for c in coefficients[1:]:
@@ -68,6 +82,12 @@ def normal_sql(seed: int, salt: str, key: str) -> str:
     return f"(sqrt(-2 * ln({uniform_sql(seed, salt + ':r', key)})) * cos(2 * pi() * {uniform_sql(seed, salt + ':a', key)}))"
 
 
+def cdf_sql(z: str) -> str:
+    t = f"(1 / (1 + 0.2316419 * abs({z})))"
+    upper = f"(exp(-({z}) * ({z}) / 2) * 0.3989422804014327 * {t} * {_sql_horner(t, _P[::-1])})"
+    return f"CASE WHEN {z} >= 0 THEN 1 - {upper} ELSE {upper} END"
+
+
 def quantile_sql(p: str) -> str:
     tail = lambda t: f"({_sql_horner(t, _C)} / ({_sql_horner(t, _D)} * {t} + 1))"
     m = f"({p} - 0.5)"

@@ -6,6 +6,9 @@ z by sqrt(1 - a^2) z + a L e, where L L' is the correlation of the scores and e
 is hash noise, which keeps the correlation; k passes are one step in closed form.
 Scores are then turned back by the columns' own distributions.
 
+A table is fitted in a few passes (:func:`fit`), and twins are made from the model
+in one more, in Arrow batches (:func:`twinloom.operators.model.twin_of`).
+
 A defined meaning for the knobs, from public statistics (Kim 1986; Gaussian
 copulas); it carries no formal privacy guarantee.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 import json
 import math
 import secrets
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,18 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinloom import __version__
-from twinloom.functions.rng import hash_normal, hash_uniform, normal_cdf, normal_quantile
-from twinloom.operators.fidelity import pairwise
+from twinloom.operators.latent import correlation
+from twinloom.operators.model import Fitted, Model, retained, twin_of
 from twinloom.operators.profile import ColumnSpec, as_double, finite, profile
+from twinloom.operators.quantiles import exact_quantiles
 
 KNOTS = 101
 RIDGE = 1e-6
-PROVENANCE_SCHEMA = "seed long, k int, mix_prob double, n_rows long, n_cols int, columns string, engine_version string"
-
-
-def retained(mix_prob: float, k: int) -> float:
-    """What k passes leave of a row's own score: 1 keeps its rank, 0 is a fresh draw."""
-    return (1 - mix_prob**2) ** (k / 2)
+PROVENANCE_SCHEMA = "seed long, k int, mix_prob double, n_rows long, n_cols int, columns string, engine_version string, load_seconds double, run_seconds double"
 
 
 def mixed(z: Column, noise: Column, mix_prob: float, k: int) -> Column:
@@ -42,24 +42,10 @@ def mixed(z: Column, noise: Column, mix_prob: float, k: int) -> Column:
     return F.lit(rho) * z + F.lit(math.sqrt(1 - rho * rho)) * noise
 
 
-def correlated_noise(lower: np.ndarray, row: int) -> Column:
-    """The row-th component of L e, for the noise columns _e0, _e1 and so on."""
-    total = F.lit(0.0)
-    for j in range(row + 1):
-        if lower[row, j]:
-            total = total + F.lit(float(lower[row, j])) * F.col(f"_e{j}")
-    return total
-
-
 def quantile_knots(df: DataFrame, columns: dict[str, Column], n: int = KNOTS) -> dict[str, list[float]]:
-    """``n`` averaged quantiles of each column: midpoints of neighbouring percentiles, so that no knot is a value of the data by design."""
-    shares = [i / n for i in range(n + 1)]
-    row = df.agg(*[F.percentile_approx(c, shares, 20_000).alias(f"k{i}") for i, c in enumerate(columns.values())]).first() if columns else []
-    out = {}
-    for name, q in zip(columns, row):
-        q = q or [0.0] * (n + 1)
-        out[name] = [(a + b) / 2 for a, b in zip(q[:-1], q[1:])]
-    return out
+    """``n`` averaged quantiles of each column: midpoints of neighbouring exact quantiles, so that no knot is a value of the data by design."""
+    found = exact_quantiles(df, columns, n)
+    return {c: [a / 2 + b / 2 for a, b in zip(q[:-1], q[1:])] if q else [0.0] * n for c, q in found.items()}
 
 
 def at_quantile(u: Column, knots: list[float]) -> Column:
@@ -71,16 +57,6 @@ def at_quantile(u: Column, knots: list[float]) -> Column:
     return low + (p - i) * (F.element_at(array, i + 2) - low)
 
 
-def share_below(x: Column, knots: list[float]) -> Column:
-    """The inverse of :func:`at_quantile`, within (0, 1)."""
-    array = F.array(*[F.lit(float(v)) for v in knots])
-    n = len(knots) - 1
-    i = F.least(F.greatest(F.size(F.filter(array, lambda v: v <= x)), F.lit(1)), F.lit(n))
-    low, high = F.element_at(array, i), F.element_at(array, i + 1)
-    inside = F.least(F.greatest(F.coalesce(F.try_divide(x - low, high - low), F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
-    return (i - 1 + inside + 0.5) / (n + 1)
-
-
 def cutpoints(df: DataFrame, column: str) -> list[tuple[object, float, float]]:
     """(value, share below, share through) of each category, by value; nulls aside."""
     rows = df.where(F.col(column).isNotNull()).groupBy(column).count().orderBy(column).collect()  # categories only
@@ -99,97 +75,75 @@ def category_at(u: Column, cuts: list[tuple[object, float, float]]) -> Column:
     return out.otherwise(F.lit(cuts[-1][0]))
 
 
-def category_share(column: str, cuts: list[tuple[object, float, float]], jitter: Column) -> Column:
-    """A place within the category's share."""
-    out = None
-    for value, low, through in cuts:
-        place = F.lit(low) + jitter * F.lit(through - low)
-        out = F.when(F.col(column) == F.lit(value), place) if out is None else out.when(F.col(column) == F.lit(value), place)
-    return out.otherwise(F.lit(0.5))
-
-
 @dataclass
 class TwinResult:
     df: DataFrame
     provenance: DataFrame
+    model: Model
 
 
-def _restored(x: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, T.IntegralType):
-        return F.round(x).cast(kind)
-    if isinstance(kind, T.DateType):
-        return F.date_from_unix_date(F.round(x).cast("int"))
-    if isinstance(kind, T.TimestampType):
-        return F.timestamp_micros(F.round(x * 1_000_000).cast("long"))
-    if isinstance(kind, T.TimestampNTZType):
-        return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(secs=F.round(x, 6).cast("decimal(18,6)"))
-    return x.cast(kind)
+def _shares(df: DataFrame, specs: list[ColumnSpec]) -> dict[str, tuple[list[str], list[float]]]:
+    """Values as texts, in the columns' own order, and running shares of all categories, from one pass; nulls aside."""
+    if not specs:
+        return {}
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{s.name}`").cast("string").alias("v")) for i, s in enumerate(specs)])
+    found: dict[int, list] = {}
+    for r in df.select(F.inline(cells)).where("v IS NOT NULL").groupBy("i", "v").count().collect():  # categories only
+        found.setdefault(r.i, []).append((r.v, r["count"]))
+    out = {}
+    for i, s in enumerate(specs):
+        rows = sorted(found[i], key=lambda x: x[0] if isinstance(s.type, (T.StringType, T.BooleanType)) else float(x[0]))
+        total = np.cumsum([n for _, n in rows])
+        out[s.name] = ([v for v, _ in rows], [int(t) / int(total[-1]) for t in total])
+    return out
 
 
-def generate(df: DataFrame, key: str | list[str], k: int = 2, mix_prob: float = 0.75, seed: int | None = None, columns: list[str] | None = None, keep_key: bool = True) -> TwinResult:
-    """A twin with a row for each row of ``df``.
-
-    ``key`` names columns that make rows unique; they seed the row's noise and are
-    kept as they are (or dropped). NaN and infinity count as nulls. Text with more than 50 values is left out, and
-    constant or all-null columns are copied.
-    """
+def fit(df: DataFrame, key: str | list[str], k: int = 2, mix_prob: float = 0.75, seed: int | None = None, columns: list[str] | None = None, surrogates: bool = False) -> Model:
+    """The model of a table; see :func:`generate`."""
     if k < 1 or not 0 <= mix_prob <= 1:
         raise ValueError("k is 1 or more and mix_prob from 0 to 1")
     keys = [key] if isinstance(key, str) else list(key)
     df = finite(df)
     seed = secrets.randbits(32) if seed is None else seed
-    names = [c for c in (columns or df.columns) if c not in keys]
-    specs = [s for s in profile(df, names) if s.kind != "identifier"]
-    rid = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in keys])
-    free = [s for s in specs if s.nulls < s.n and (s.ndv is None or s.ndv > 1)]
-    kinds = {s.name: s.type for s in specs}
-    numbers = {s.name: as_double(s.name, kinds[s.name]) for s in free if s.kind == "continuous"}
-    knots = quantile_knots(df, numbers)
-    cuts = {s.name: cutpoints(df, s.name) for s in free if s.kind == "categorical"}
-
-    latent: dict[str, Column] = {}
-    for s in free:
-        jitter = hash_uniform(seed, f"jitter:{s.name}", rid)
-        u = share_below(numbers[s.name], knots[s.name]) if s.kind == "continuous" else category_share(s.name, cuts[s.name], jitter)
-        latent[s.name] = F.coalesce(u, hash_uniform(seed, f"null:{s.name}", rid))
-        if s.nulls:
-            share = s.nulls / s.n
-            missing = F.when(F.col(s.name).isNull(), jitter * share).otherwise(share + jitter * (1 - share))
-            latent[s.name + " is null"] = missing
-    order = list(latent)
-    clip = lambda u: F.least(F.greatest(u, F.lit(1e-9)), F.lit(1 - 1e-9))
-    # each step is a projection of its own, so that what it uses several times is computed once
-    width = range(len(order))
-    noise = {f"_e{j}": hash_normal(seed, f"noise:{name}", F.col("_rid")) for j, name in enumerate(order)}
-    scored = df.withColumn("_rid", rid).withColumns({f"_u{i}": clip(u) for i, u in enumerate(latent.values())} | noise) if order else df
-    scored = scored.withColumns({f"_z{i}": normal_quantile(F.col(f"_u{i}")) for i in width}) if order else scored
-    r = np.eye(len(order))
-    if len(order) > 1:
-        for x in pairwise(scored, [f"_z{i}" for i in width]).collect():
-            i, j = int(x.a[2:]), int(x.b[2:])
-            r[i, j] = r[j, i] = round(x.corr, 9) if x.corr is not None and x.corr == x.corr else 0.0
-    if order:
-        values, vectors = np.linalg.eigh(r)
-        r = (vectors * np.maximum(values, RIDGE)) @ vectors.T
-        r /= np.sqrt(np.outer(np.diag(r), np.diag(r)))
-        lower = np.linalg.cholesky(r)
-        blend = {f"_m{i}": mixed(F.col(f"_z{i}"), correlated_noise(lower, i), mix_prob, k) for i in width}
-        scored = scored.withColumns(blend).withColumns({f"_v{i}": normal_cdf(F.col(f"_m{i}")) for i in width})
-    new = {name: F.col(f"_v{i}") for i, name in enumerate(order)}
-    out = []
+    specs = profile(df, [c for c in (columns or df.columns) if c not in keys])
+    free = [s for s in specs if s.kind != "identifier" and s.nulls < s.n and (s.ndv is None or s.ndv > 1)]
+    knots = quantile_knots(df, {s.name: as_double(s.name, s.type) for s in free if s.kind == "continuous"})
+    shares = _shares(df, [s for s in free if s.kind == "categorical"])
+    fitted = []
     for s in specs:
-        if s.name not in new:
-            out.append(F.col(s.name))
-            continue
-        value = _restored(at_quantile(new[s.name], knots[s.name]), s.type) if s.kind == "continuous" else category_at(new[s.name], cuts[s.name])
-        if s.nulls:
-            value = F.when(new[s.name + " is null"] >= s.nulls / s.n, value)
-        out.append(value.cast(s.type).alias(s.name))
-    twin = scored.select(*([F.col(c) for c in keys] if keep_key else []), *out)
-    return TwinResult(twin, provenance(df.sparkSession, seed, k, mix_prob, specs))
-
-
-def provenance(spark, seed: int, k: int, mix_prob: float, specs: list[ColumnSpec]) -> DataFrame:
-    rows = specs[0].n if specs else 0
-    listed = json.dumps({s.name: s.kind for s in specs})
-    return spark.createDataFrame([(seed, k, float(mix_prob), rows, len(specs), listed, __version__)], PROVENANCE_SCHEMA)
+        kind, nulls = s.type.simpleString(), s.nulls / s.n if s.n else 0.0
+        if s.kind == "identifier":
+            fitted += [Fitted(s.name, kind, "surrogate")] if surrogates else []
+        elif s.name in knots:
+            fitted.append(Fitted(s.name, kind, "continuous", nulls, knots=knots[s.name]))
+        elif s.name in shares:
+            fitted.append(Fitted(s.name, kind, "categorical", nulls, values=shares[s.name][0], through=shares[s.name][1]))
+        else:
+            fitted.append(Fitted(s.name, kind, "copied"))
+    model = Model(keys, seed, k, float(mix_prob), specs[0].n if specs else 0, fitted)
+    if model.n_scores:
+        values, vectors = np.linalg.eigh(correlation(df, model))
+        r = (vectors * np.maximum(values, RIDGE)) @ vectors.T
+        model.lower = np.linalg.cholesky(r / np.sqrt(np.outer(np.diag(r), np.diag(r)))).tolist()
+    return model
+
+
+def generate(
+    df: DataFrame, key: str | list[str], k: int = 2, mix_prob: float = 0.75, seed: int | None = None, columns: list[str] | None = None, keep_key: bool = True, surrogates: bool = False
+) -> TwinResult:
+    """A twin with a row for each row of ``df``.
+
+    ``key`` names columns that make rows unique; they seed the row's noise and are
+    kept as they are (or dropped). NaN and infinity count as nulls. Text with more than 50 values is left out or,
+    with ``surrogates``, replaced value by value; constant or all-null columns are copied.
+    """
+    began = time.time()
+    model = fit(df, key, k, mix_prob, seed, columns, surrogates)
+    took = time.time() - began
+    return TwinResult(twin_of(finite(df), model, keep_key), provenance(df.sparkSession, model, took), model)
+
+
+def provenance(spark, model: Model, seconds: float = 0.0) -> DataFrame:
+    """What a twin was made with; ``run_seconds`` are those of the fit, to which those of writing are added."""
+    listed = json.dumps({c.name: c.kind for c in model.columns})
+    return spark.createDataFrame([(model.seed, model.k, model.mix_prob, model.n_rows, len(model.columns), listed, __version__, None, round(seconds, 3))], PROVENANCE_SCHEMA)

@@ -15,7 +15,7 @@ from twinloom.operators import fidelity, privacy
 from twinloom.operators.baseline import shuffle_columns
 from twinloom.operators.evaluate import evaluate
 from twinloom.operators.fidelity import rounded
-from twinloom.operators.generate import at_quantile, category_at, cutpoints, generate, mixed, retained
+from twinloom.operators.generate import at_quantile, category_at, cutpoints, generate, mixed, quantile_knots, retained
 from twinloom.operators.profile import ColumnSpec, profile, profile_table
 from twinloom.operators.ranking import ranked
 from twinloom.storage import written
@@ -343,9 +343,7 @@ _KNOT_SQL = f"knots AS (SELECT [{', '.join(f'(quantile_disc(o_totalprice, {i / _
 
 
 def _knots(spark, d) -> list[float]:
-    shares = ", ".join(str(i / _KN) for i in range(_KN + 1))
-    q = _read(spark, d, "orders").agg(F.expr(f"percentile_approx(o_totalprice, array({shares}), 1000000)")).first()[0]
-    return [(a + b) / 2 for a, b in zip(q[:-1], q[1:])]
+    return quantile_knots(_read(spark, d, "orders"), {"x": F.col("o_totalprice")}, _KN)["x"]
 
 
 @query("quantile_knots", f"WITH {_KNOT_SQL} SELECT i::INT AS i, round(k[i + 1], 6) AS knot FROM knots, range({_KN}) r(i)")
