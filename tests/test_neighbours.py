@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from conftest import duck
 from pyspark.sql import functions as F
 
 from twinloom.operators import privacy
@@ -128,3 +129,10 @@ def test_empty_sides(tables):
     assert [(r.hits, r.n) for r in privacy.inference(some, none, specs, "id", COLS, {0: ["x"]}, 5, 1).collect()] == [(None, 0)]
     assert privacy.linkability(some, none, specs, "id", ["x"], ["y"], 5, 1, 1).agg(F.sum("hit")).first()[0] == 0
     assert privacy.singling_out(none, some, specs, "id", ["x"], {"x": 1.0}, 5, 1).agg(F.sum("matches")).first()[0] == 0
+
+
+def test_drawn_columns_are_those_of_sql():
+    names = [f"column_{i}" for i in range(25)]
+    for salt, n in (("aux", 6), ("single", 19), *((f"secret:{i}", 5) for i in range(10))):
+        found = duck(f"SELECT unnest({names!r}) AS name ORDER BY md5(concat_ws('|', '42', '{salt}', name)) LIMIT {n}", {})
+        assert privacy.draw(names, n, 42, salt) == found.name.tolist()

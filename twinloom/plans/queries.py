@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinloom.functions.permutation import permutation_sql, round_keys
-from twinloom.functions.rng import hash_normal, hash_uniform, normal_quantile, normal_sql, quantile_sql, uniform_sql
+from twinloom.functions.rng import cdf_sql, hash_normal, hash_uniform, normal_quantile, normal_sql, quantile_sql, uniform_sql
+from twinloom.functions.surrogate import surrogate_sql
 from twinloom.operators import fidelity, privacy
 from twinloom.operators.baseline import shuffle_columns
 from twinloom.operators.evaluate import evaluate
 from twinloom.operators.fidelity import rounded
-from twinloom.operators.generate import at_quantile, category_at, cutpoints, generate, mixed, quantile_knots, retained
+from twinloom.operators.generate import KNOTS, at_quantile, category_at, cutpoints, fit, generate, mixed, quantile_knots, retained
+from twinloom.operators.latent import contingency
+from twinloom.operators.model import USED, twin_of, word_sql
 from twinloom.operators.profile import ColumnSpec, profile, profile_table
 from twinloom.operators.ranking import ranked
-from twinloom.storage import written
+from twinloom.sources.io import read_model, write_model
+from twinloom.storage import new_path, written
 
 SEED = 42
 KEY = "c_custkey"
@@ -360,9 +364,76 @@ def continuous_decode(spark, d):
     return _read(spark, d, "orders").select("o_orderkey", rounded(at_quantile(hash_uniform(SEED, "c", F.col("o_orderkey")), _knots(spark, d)), 4).alias("price"))
 
 
-@query("generate_twin")
+_NUMBERS = ["c_nationkey", "c_acctbal"]
+
+
+def _word(score: int, use: int) -> str:
+    return word_sql(SEED, KEY, USED * score + use)
+
+
+def _quantiles_sql(c: str) -> str:
+    """Exact quantiles and the knots between them."""
+    at = f"greatest(1, (i * (SELECT count(*) FROM customer) + {KNOTS - 1}) // {KNOTS})"
+    return f"""q_{c} AS (SELECT list(v ORDER BY i) AS q FROM range({KNOTS + 1}) t(i) JOIN (SELECT {c}::DOUBLE AS v, row_number() OVER (ORDER BY {c}) AS r FROM customer) ON r = {at}),
+k_{c} AS (SELECT list_transform(range(1, {KNOTS + 1}), lambda i: q[i] / 2 + q[i + 1] / 2) AS k FROM q_{c})"""
+
+
+def _below_sql(c: str) -> str:
+    """z_<c>: the normal score of each customer's number."""
+    i = f"least(greatest(len(list_filter(k, lambda v: v <= x)), 1), {KNOTS - 1})"
+    u = f"(i - 1 + CASE WHEN k[i + 1] > k[i] THEN least(greatest((x - k[i]) / (k[i + 1] - k[i]), 0.0), 1.0) ELSE 0.5 END + 0.5::DOUBLE) / {KNOTS}"
+    return f"z_{c} AS (SELECT {KEY}, {quantile_sql('u')} AS z FROM (SELECT {KEY}, least(greatest({u}, 1e-9::DOUBLE), 1 - 1e-9::DOUBLE) AS u FROM (SELECT {KEY}, x, k, {i} AS i FROM (SELECT {KEY}, {c}::DOUBLE AS x, k FROM customer, k_{c}))))"
+
+
+def _at_sql(u: str, c: str) -> str:
+    return f"(SELECT k[i + 1] + (p - i) * (k[i + 2] - k[i + 1]) FROM (SELECT k, p, least(floor(p), {KNOTS - 2})::INT AS i FROM (SELECT k, {u} * {KNOTS - 1} AS p FROM k_{c})))"
+
+
+_D = lambda a: f"CASE WHEN {a} IN (0, 1) THEN 0 ELSE exp(-pow({quantile_sql(a)}, 2) / 2) / sqrt(2 * pi()) END"
+_NOISE = ", ".join(f"sqrt(-2 * ln({_word(i, 1)})) * cos(2 * pi() * {_word(i, 2)}) AS n{i}" for i in range(3))
+_RETAINED = retained(0.75, 2)
+_BLEND = lambda z, n: f"{_RETAINED!r}::DOUBLE * {z} + {(1 - _RETAINED**2) ** 0.5!r}::DOUBLE * ({n})"
+#: The fit and the twin of customers: knots, shares, scores, correlations, their Cholesky factor, and the blend.
+GENERATED_SQL = f"""{', '.join(_quantiles_sql(c) for c in _NUMBERS)}, {', '.join(_below_sql(c) for c in _NUMBERS)},
+s AS (SELECT c_mktsegment AS value, (sum(count(*)) OVER (ORDER BY c_mktsegment) - count(*))::DOUBLE / sum(count(*)) OVER () AS low, (sum(count(*)) OVER (ORDER BY c_mktsegment))::DOUBLE / sum(count(*)) OVER () AS high FROM customer GROUP BY 1),
+sl AS (SELECT list(value ORDER BY value) AS v, list(high ORDER BY value) AS t FROM s),
+zs AS (SELECT {KEY}, a.z AS z0, b.z AS z1, least(greatest(low + {_word(2, 0)} * (high - low), 1e-9::DOUBLE), 1 - 1e-9::DOUBLE) AS u2, c_mktsegment
+  FROM z_c_nationkey a JOIN z_c_acctbal b USING ({KEY}) JOIN customer USING ({KEY}) JOIN s ON value = c_mktsegment),
+st AS (SELECT value, {_D('low')} - {_D('high')} AS step FROM s),
+sg AS (SELECT value, any_value(step) AS step, sum(z0) AS s0, sum(z1) AS s1 FROM zs JOIN st ON value = c_mktsegment GROUP BY value),
+r AS (SELECT (SELECT round(corr(z0, z1), 9) FROM zs) AS r01, round(sum(s0 * step) / (SELECT count(*) FROM zs) / sum(step * step), 9) AS r02, round(sum(s1 * step) / (SELECT count(*) FROM zs) / sum(step * step), 9) AS r12 FROM sg),
+c AS (SELECT r01 AS c10, sqrt(1 - r01 * r01) AS c11, r02 AS c20, (r12 - r01 * r02) / sqrt(1 - r01 * r01) AS c21 FROM r),
+m AS (SELECT {KEY}, {_BLEND('z0', 'n0')} AS m0, {_BLEND('z1', 'c10 * n0 + c11 * n1')} AS m1, {_BLEND('z2', 'c20 * n0 + c21 * n1 + sqrt(1 - c20 * c20 - c21 * c21) * n2')} AS m2
+  FROM (SELECT *, {quantile_sql('u2')} AS z2, {_NOISE} FROM zs), c),
+made AS (SELECT {KEY}, {cdf_sql('m0')} AS v0, {cdf_sql('m1')} AS v1, {cdf_sql('m2')} AS v2 FROM m),
+generated AS (SELECT {KEY}, round({_at_sql('v0', 'c_nationkey')})::INT AS c_nationkey, {_at_sql('v1', 'c_acctbal')} AS c_acctbal, v[len(list_filter(t[1 : len(t) - 1], lambda x: x <= v2)) + 1] AS c_mktsegment FROM made, sl)"""
+
+
+@query("generate_twin", f"WITH {GENERATED_SQL} SELECT {KEY}, c_nationkey, round(c_acctbal, 4) AS c_acctbal, c_mktsegment FROM generated")
 def generate_twin(spark, d):
-    return generate(_read(spark, d, "customer"), KEY, seed=SEED).df
+    return generate(_read(spark, d, "customer"), KEY, seed=SEED).df.withColumn("c_acctbal", rounded("c_acctbal", 4))
+
+
+@query("twin_from_model", f"WITH {GENERATED_SQL} SELECT {KEY}, c_nationkey, round(c_acctbal, 4) AS c_acctbal, c_mktsegment FROM generated WHERE {KEY} % 3 = 0")
+def twin_from_model(spark, d):
+    """Twins of some of the rows, from a model that was written and read back."""
+    customer = _read(spark, d, "customer")
+    path = new_path(spark, "model")
+    write_model(spark, fit(customer, KEY, seed=SEED), path)
+    return twin_of(customer.where(F.col(KEY) % 3 == 0), read_model(spark, path)).withColumn("c_acctbal", rounded("c_acctbal", 4))
+
+
+@query("surrogate_names", f"WITH {surrogate_sql('s', f'(SELECT {KEY}, c_name FROM customer)', 'c_name', f'{SEED}|c_name')} SELECT {KEY}, c_name FROM s")
+def surrogate_names(spark, d):
+    return generate(_read(spark, d, "customer"), KEY, seed=SEED, surrogates=True).df.select(KEY, "c_name")
+
+
+_CATS = ["l_linenumber", "l_returnflag", "l_linestatus"]
+
+
+@query("category_tables", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {a}::VARCHAR AS value_a, {b}::VARCHAR AS value_b, count(*) AS n FROM lineitem GROUP BY {a}, {b}" for i, a in enumerate(_CATS) for b in _CATS[i + 1 :]))
+def category_tables(spark, d):
+    return contingency(_read(spark, d, "lineitem"), _CATS)
 
 
 @query("generate_twin_wide")
@@ -471,10 +542,38 @@ def wilson_interval(spark, d):
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    return df.select("seed", "fidelity.*", *[F.col("privacy")[c].alias(c) for c in _THREE], F.col("privacy.composite").alias("privacy_composite"))
+    scores = [rounded(f"fidelity.{c}", 5).alias(c) for c in ("mean", "variance", "correlation", "ks", "composite")]
+    return df.select("seed", *scores, *[rounded(F.col("privacy")[c], 5).alias(c) for c in _THREE], rounded("privacy.composite", 5).alias("privacy_composite"))
+
 
+_AUX, _WIDE, _REPS = privacy.draw(COLS, 3, SEED, "aux"), privacy.draw(COLS, 2, SEED, "single"), range(2)
 
-@query("evaluate_report")
+
+def _report_rates_sql(twin: str) -> str:
+    near = [_near_sql(f"{twin}_a", "link", twin, _AUX[:2], 1), _near_sql(f"{twin}_b", "link", twin, _AUX[2:], 1)]
+    near += [_near_sql(f"{twin}_i{r}_{s}", f"infer{r}", twin, rest, 1) for r in _REPS for s, rest in SECRETS.items()]
+    infer = " UNION ALL ".join(f"SELECT ({_RIGHT[s]})::INT AS x FROM {twin}_i{r}_{s}" for r in _REPS for s in SECRETS)
+    return f"""{_single_sql(twin + '_s', twin, _WIDE)}, {', '.join(near)},
+{twin}_rates AS (SELECT (SELECT avg((matches = 1)::INT) FROM {twin}_s) AS singling_out,
+  (SELECT count(*) / {N_ATTACKS}.0::DOUBLE FROM {twin}_a a JOIN {twin}_b b ON a.a_{KEY} = b.a_{KEY} AND a.t_{KEY} = b.t_{KEY}) AS linkability, (SELECT avg(x) FROM ({infer})) AS inference)"""
+
+
+def _report_sql(twin: str, more: str = "") -> str:
+    """The report from tables ``real`` and ``twin``."""
+    samples = ", ".join([_sample_sql("link", "real", "link"), *[_sample_sql(f"infer{r}", "real", f"infer:{r}") for r in _REPS]])
+    mom = _MOM
+    off = lambda t: f"abs((SELECT corr(c_nationkey, c_acctbal) FROM real) - (SELECT corr(c_nationkey, c_acctbal) FROM {t}))"
+    score = lambda c: f"CASE WHEN b.{c} < 1 THEN 100 * (1 - greatest(0.0, least(1.0, (t.{c} - b.{c}) / (1 - b.{c})))) END"
+    names = ["mean", "variance", "correlation", "ks", "composite", *_THREE, "privacy_composite"]
+    return f"""WITH RECURSIVE {twin}, {SHUFFLED_SQL}, {RANGE_SQL}, {MEDIAN_SQL}, {samples}, {_report_rates_sql('twin')}, {_report_rates_sql('shuffled')}, mom AS ({mom}), ks AS ({' UNION ALL '.join(_ks_sql(c, 'real', 'twin') for c in _TWO)}),
+f AS (SELECT (SELECT avg(100 * greatest(0.0, 1 - abs(tm - m) / sqrt(v))) FROM mom) AS mean, (SELECT avg(100 * least(v, tv) / greatest(v, tv)) FROM mom) AS variance,
+  100 * greatest(0.0, 1 - {off('twin')} / {off('shuffled')}) AS correlation, (SELECT avg(100 * (1 - ks)) FROM ks) AS ks),
+p AS (SELECT {', '.join(f'{score(c)} AS {c}' for c in _THREE)} FROM twin_rates t, shuffled_rates b),
+z AS (SELECT *, (mean + variance + correlation + ks) / 4 AS composite, (singling_out + linkability + inference) / 3 AS privacy_composite FROM f, p)
+SELECT {SEED}::BIGINT AS seed, {', '.join(f'round({c}, 5) AS {c}' for c in names)}{more} FROM z"""
+
+
+@query("evaluate_report", _report_sql(TWIN_SQL))
 def evaluate_report(spark, d):
     return _flat(evaluate(_customer(spark, d), _twin(spark, d), KEY, n_attacks=N_ATTACKS, n_reps=2, seed=SEED))
 
@@ -508,7 +607,10 @@ def provenance_row(spark, d):
     return generate(_read(spark, d, "customer"), KEY, seed=SEED).provenance.select("seed", "k", "mix_prob", "n_rows", "n_cols")
 
 
-@query("certificate_data")
+_CERTIFIED = f"{GENERATED_SQL}, real AS (SELECT {KEY}, {', '.join(COLS)} FROM customer), twin AS (SELECT {KEY}, {', '.join(COLS)} FROM generated)"
+
+
+@query("certificate_data", _report_sql(_CERTIFIED, ", 2 AS k, 0.75::DOUBLE AS mix_prob, (SELECT count(*) FROM customer) AS n_rows, 3 AS n_cols"))
 def certificate_data(spark, d):
     result = generate(_read(spark, d, "customer"), KEY, seed=SEED)
-    return _flat(evaluate(_customer(spark, d), result.df, KEY, n_attacks=N_ATTACKS, n_reps=2, seed=SEED)).crossJoin(result.provenance.select("k", "mix_prob", "n_rows", "n_cols", "engine_version"))
+    return _flat(evaluate(_customer(spark, d), result.df, KEY, n_attacks=N_ATTACKS, n_reps=2, seed=SEED)).crossJoin(result.provenance.select("k", "mix_prob", "n_rows", "n_cols"))
