@@ -435,14 +435,16 @@ def test_top_k_on_odd_tables(spark):
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>")
     found = [tuple(r) for r in topk.top_k(df, "vec_id", "embedding", k=3).orderBy("query_id", "rank").collect()]
     one = 1024 * 1024
-    assert found == [(0, 1, 1, 5 * one), (0, 2, 8, 5 * one), (0, 3, 100, 0), (100, 1, 0, 0), (100, 2, 1, 0), (100, 3, 8, 0)]
+    own = 1024**2 + 512**2  # of the two rows with id 100, each is the other's nearest
+    one_hundred = [(100, 1, 100, own), (100, 2, 0, 0), (100, 3, 1, 0)]
+    assert found == sorted([(0, 1, 1, 5 * one), (0, 2, 8, 5 * one), (0, 3, 100, 0), *one_hundred, *one_hundred])
     assert topk.top_k(df.where("vec_id < 0"), "vec_id", "embedding").count() == 0
 
 
 def test_top_k_of_large_components_and_null_ids(spark):
     big = [(0, [1e10, -1e10]), (1, [1e10, 3.0]), (2, [-1e10, 1e10]), (3, [2.0, 1.0]), (None, [2.0, 1.0]), (4, [1e300, 0.0])]
     df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
-    most = 2**62 - 2
+    most = 2**63 - 1
     exact = 1024 * 1024 * 10**10
     found = [tuple(r)[1:] for r in topk.top_k(df, "vec_id", "embedding").orderBy("rank").collect()]
     assert found == [(1, 1, most), (2, 4, most), (3, None, exact), (4, 3, exact), (5, 2, -most)]
@@ -451,6 +453,19 @@ def test_top_k_of_large_components_and_null_ids(spark):
     assert rows(topk.top_k(small, "vec_id", "embedding").toPandas()) == rows(sql)
 
 
+def test_top_k_of_scores_near_the_limit_and_ids_beside_nulls(spark):
+    """Scores up to 2**63 - 1 differ by one where they should, and large ids stay whole beside null ones."""
+    a, b = 2**21, 2**21 + 1  # times 1024: 2**31 and a little more
+    big = 2**60 + 1
+    v = [(0, [float(a), 0.0]), (big, [float(a), 1.0]), (None, [float(a), 1.0]), (big + 2, [float(b), 0.0]), (5, [float(a) - 0.5 / 512, 0.0]), (6, [-float(a), 0.0]), (-(2**62), [float(a), 0.0])]
+    found = topk.top_k(spark.createDataFrame(v, "vec_id long, embedding array<double>").coalesce(1), "vec_id", "embedding").orderBy("rank").collect()
+    ints = [[int(x * 1024 // 1) for x in e] for _, e in v]
+    score = [sum(x * y for x, y in zip(ints[0], e)) for e in ints]
+    order = sorted(range(1, len(v)), key=lambda i: (-score[i], v[i][0] is not None, v[i][0] or 0))
+    assert [(r.vec_id, r.score) for r in found] == [(v[i][0], score[i]) for i in order]
+    assert max(score) > 2**62 and len(set(score)) >= 4
+
+
 def test_top_k_by_blocks_and_ties(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 2)
     rng = np.random.default_rng(2)
