@@ -113,3 +113,19 @@ def test_dates_and_missing_numbers(spark):
         assert value is not None and 0 <= value <= 100
     for low, high in scores.intervals:
         assert 0 <= low <= high <= 1
+
+
+def test_shared_folders(spark, monkeypatch):
+    """Written tables are in the folder that the session names; a cluster without one is told so."""
+    import types
+
+    from twinloom import storage
+
+    assert storage.written(spark.range(3), "x").written_to.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert [storage.in_one_process(m) for m in ("local", "local[4]", "local[*]", "local-cluster[2,1,1024]", "yarn", "spark://a:7077")] == [True] * 3 + [False] * 3
+    cluster = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=types.SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(cluster)
+    table = storage.written(spark.range(3), "x")
+    storage.delete(table)
+    assert not spark._jvm.org.apache.hadoop.fs.Path(table.written_to).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(table.written_to))

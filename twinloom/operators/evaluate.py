@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from twinloom.operators import fidelity, privacy
 from twinloom.operators.baseline import shuffle_columns
 from twinloom.operators.profile import ColumnSpec, as_numbers, profile
-from twinloom.storage import written
+from twinloom.storage import delete, written
 
 SINGLING_SHARE = 0.75
 RESULT = (
@@ -108,6 +108,7 @@ def evaluate(
         p = {m: score(rates[m] and rates[m][0], base[m] and base[m][0]) for m in rates}
         p["composite"] = _mean(p.values())
         intervals = {m: r and r[1] for m, r in rates.items()}
+    delete(twin, *([shuffled] if names else []))
     return real.sparkSession.createDataFrame([(seed, f, None if skip_privacy else p, None if skip_privacy else intervals)], RESULT)
 
 

@@ -15,15 +15,22 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     Where the setting is absent (local runs, tests) a local folder is chosen and
-    written into the session's settings, so that every caller sees the same one.
+    written into the session's settings, so that every caller sees the same one. On a
+    cluster, where machines do not share local folders, its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not in_one_process(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="twinloom-", dir=os.environ.get("TMPDIR"))
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def in_one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -51,6 +58,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def delete(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`written` returned and that nothing will read again."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_to)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables that :func:`written` returned and that nothing will read again.
 
@@ -58,8 +71,7 @@ def release(*tables: DataFrame) -> None:
     let go of reach the JVM's garbage a moment later, so it is collected twice.
     """
     spark = SparkSession.active()
-    for t in tables:
-        _delete(spark, t.written_to)
+    delete(*tables)
     gc.collect()
     for _ in range(2):
         spark._jvm.System.gc()
