@@ -67,6 +67,7 @@ def test_ngram_join_is_brute_force(spark, docs):
 
 def test_ngram_join_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LEAF", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK", 12)
     base = [f"t{i}" for i in range(200)]
     texts = [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(60)] + ["alone " * 9]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -89,6 +90,7 @@ def test_ngram_join_at_a_lower_threshold(spark):
 def test_ngram_join_of_texts_with_common_parts(spark, monkeypatch):
     # a third of each text is one passage: buckets are split beyond the first levels, and the copies among them are found
     monkeypatch.setattr(ngram_join, "LEAF", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
     rng = np.random.default_rng(1)
     common = " ".join(f"c{i}" for i in range(60))
     texts = [common + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 90)) for _ in range(250)]
@@ -99,6 +101,45 @@ def test_ngram_join_of_texts_with_common_parts(spark, monkeypatch):
     assert sorted(map(tuple, ngram_join.jaccard_classes(df).collect())) == [(i, g, n) for i, (g, n) in enumerate(zip(group, links))]
 
 
+def test_ngram_join_pivots_lose_no_class(spark, monkeypatch):
+    """Buckets that do not come apart: what is linked to no pivot still meets all others."""
+    monkeypatch.setattr(ngram_join, "LEAF", 16)
+    rng = np.random.default_rng(5)
+    agreed = ngram_join.agree_for(0.8)
+    rows, leaves, expected = [], [], []
+    # paths: one cloud, a chain of sets that drift away from their start, two clouds and loners
+    for path, steps in ((1, [0]), (2, range(0, 300, 2)), (3, [0, 64])):
+        start = rng.integers(0, 2**32, 64, dtype=np.uint64).astype("<u4")
+        other = rng.integers(0, 2**32, (512,), dtype=np.uint64).astype("<u4")
+        made = []
+        for k in range(150):
+            m = np.concatenate([start, other])[(shift := list(steps)[k % len(steps)]) : shift + 64].copy()
+            if path != 2:
+                at = rng.choice(64, 10 if k % 25 else 60, replace=False)
+                m[at] = rng.integers(0, 2**32, len(at), dtype=np.uint64)
+            made.append(m if path != 2 else np.roll(m, shift))
+        m = np.stack(made)
+        nodes = 1000 * path + np.arange(len(m))
+        label = nodes[_classes_of((m[:, None] == m[None, :]).sum(axis=2) >= agreed)]
+        expected += [(int(n), int(c)) for n, c in zip(nodes, label)]
+        rows += [(int(n), bytearray(x.tobytes())) for n, x in zip(nodes, m)]
+        leaves += [(path, int(n), len(m)) for n in nodes]
+    sets = spark.createDataFrame(rows, "node long, sketch binary")
+    links = ngram_join.near_links(spark.createDataFrame(leaves, "path long, node long, n long"), sets, agreed)
+    found = {r.id: r.comp for r in ngram_join.connected_components(links).collect()}
+    assert {(n, found.get(n, n)) for n, _ in expected} == set(expected)
+    assert 3 < len({c for _, c in expected}) < 60
+
+
+def _classes_of(linked):
+    labels = np.arange(len(linked))
+    while True:
+        new = np.where(linked, labels[None, :], len(linked)).min(axis=1)
+        if (new == labels).all():
+            return labels
+        labels = new
+
+
 def test_ngram_join_runs():
     assert ngram_join.runs_for(0.999) >= ngram_join.runs_for(0.99) > 1
     assert ngram_join.runs_for(0.9, 1.0) == 1

@@ -52,9 +52,15 @@ def in_blocks(rows: DataFrame, group: str, member: str, count: str, block: int)
 
 
 def met(rows: DataFrame, group: str) -> DataFrame:
-    """Rows dealt so that each pair of blocks of a group is consecutive in one task."""
+    """Rows dealt so that each pair of blocks of a group is consecutive in one task.
+
+    The pairs of a group go to one task after the other from the group's own on, so that a large group is spread evenly.
+    """
     keys = [group, "bi", "bj"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.col("bj").cast("long") * (F.col("bj") + 1) / 2 + F.col("bi")
+    task = F.pmod(F.pmod(F.xxhash64(group), F.lit(tasks)) + at.cast("long"), F.lit(tasks))
+    return rows.repartitionById(tasks, task.cast("int")).sortWithinPartitions(*keys)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -9,8 +9,9 @@ to their similarity. Buckets of up to ``LEAF`` sets are compared by their
 sketches, larger ones are split again: the first ``DEPTH`` times on one position,
 then on two positions at once, by which a pair at the threshold has children in
 common as often as not however deep it goes. A bucket that holds more than half
-of the one it was split from does not come apart (it holds copies of one text);
-it is compared in pairs of blocks. The number of runs follows from the recall
+of the one it was split from does not come apart (it holds copies of one text):
+its sets are compared with a few pivots from among them, and only those that
+are linked to none of the pivots' class meet the others, in pairs of blocks. The number of runs follows from the recall
 that is asked for. What the sketches may link is one candidate component; within
 it all pairs are compared exactly on the whole shingle sets, so a link between
 members is found even if no run met that pair.
@@ -43,9 +44,13 @@ RECALL = 0.999
 SKETCH = 64
 #: Sets a bucket (or block) may hold to be compared at once.
 LEAF = 256
+#: Sets of a component that are compared exactly with as many others at once; pairs of such blocks are dealt evenly.
+BLOCK = 128
 #: Splits on one position; further ones are on BRANCHES positions.
 DEPTH = 3
 BRANCHES = 2
+#: Sets of a bucket that does not come apart which all of it is compared with first.
+PIVOTS = 8
 #: Shingles a set of a block has on average at most; blocks of longer ones hold fewer.
 SET_SHINGLES = 2048
 #: Chance that the sketches of a pair at the threshold agree too seldom to be looked at.
@@ -197,6 +202,46 @@ def _near(agreed: int):
     return run
 
 
+def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, SKETCH)
+
+
+def _main_class(agreed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each bucket's pivots the largest class of linked ones."""
+        for batch in batches:
+            out = []
+            for path, pivots in zip(batch.column("path").to_pylist(), batch.column("pivots").to_pylist()):
+                m = np.frombuffer(b"".join(x["sketch"] for x in pivots), "<u4").reshape(-1, SKETCH)
+                labels = local_labels((m[:, None] == m[None, :]).sum(axis=2) >= agreed)
+                main = [x for x, label in zip(pivots, labels) if label == np.bincount(labels).argmax()]
+                out.append({"path": path, "hubs": [x["node"] for x in main], "sketches": [x["sketch"] for x in main]})
+            yield pa.RecordBatch.from_pylist(out, pa.schema({"path": pa.int64(), "hubs": pa.list_(pa.int64()), "sketches": pa.list_(pa.binary())}))
+
+    return run
+
+
+def _to_pivots(agreed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pivots that each set is linked to: for a pivot all of them, for others the first."""
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                hubs = part.column("hubs")
+                row = np.repeat(np.arange(len(part)), np.asarray(hubs.value_lengths()))
+                to, nodes = np.asarray(hubs.flatten()), np.asarray(part.column("node"))
+                linked = (_sketches(part.column("sketch"))[row] == _sketches(part.column("sketches").flatten())).sum(axis=1) >= agreed
+                row, to = row[linked], to[linked]
+                pivot = np.zeros(len(part), bool)
+                pivot[row[to == nodes[row]]] = True
+                wanted = pivot[row] | np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
+                row, to = row[wanted], to[wanted]
+                offsets = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
+                yield pa.record_batch({"path": part.column("path"), "node": nodes, "n": part.column("n"), "to": pa.ListArray.from_arrays(pa.array(offsets), pa.array(to))})
+
+    return run
+
+
 def _common(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections."""
     n = len(sets)
@@ -291,6 +336,41 @@ def candidate_leaves(sets: DataFrame, recall: float, threshold: float) -> DataFr
     return out
 
 
+def near_links(leaves: DataFrame, sets: DataFrame, agreed: int) -> DataFrame:
+    """Links (a, b) that span what the sketches of the leaves (path, node, n) may link.
+
+    Members of a leaf of more than LEAF sets that are linked to its pivots' class need no comparison with each other:
+    the others (r of them, as a rule few) meet each other and all members, r x n pairs and not n x n.
+    """
+    sketches = sets.select("node", "sketch")
+    compare = _near(agreed)
+    cols = ["path", "bi", "bj", "own", "node", "sketch"]
+    small = in_blocks(leaves.where(F.col("n") <= LEAF).join(sketches, "node"), "path", "node", "n", LEAF)
+    near = met(small, "path").select(cols).mapInArrow(compare, "a long, b long")
+    large = leaves.where(F.col("n") > LEAF).join(sketches, "node")
+    slot = F.pmod(F.xxhash64("node", "path"), F.lit(PIVOTS)).alias("slot")
+    drawn = large.groupBy("path", slot).agg(F.min(F.struct(F.xxhash64("path", "node").alias("drawn"), "node", "sketch")).alias("pivot"))
+    drawn = drawn.groupBy("path").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
+    pivots = written(drawn.mapInArrow(_main_class(agreed), "path long, hubs array<long>, sketches array<binary>"), "pivots")
+    starred = written(large.join(pivots, "path").mapInArrow(_to_pivots(agreed), "path long, node long, n long, to array<long>"), "starred")
+    near = near.unionByName(starred.select(F.col("node").alias("a"), F.explode("to").alias("b")).where("a <> b"))
+    apart = F.size("to") == 0
+    if starred.where(apart).isEmpty():
+        return near
+    left = starred.where(apart).groupBy("path").agg(F.count("*").alias("r"))
+    both = starred.join(left, "path").select("path", "node", "n", "r", apart.alias("apart")).join(sketches, "node")
+    rest = met(in_blocks(both.where("apart"), "path", "node", "r", LEAF), "path").select(cols)
+    # blocks of members that have a pivot count down from -1, those of the rest up from 0
+    place = F.xxhash64("node", "path")
+    n_rest, n_linked = (F.ceil(F.col(x) / LEAF).cast("int") for x in ("r", "n"))
+    of_rest, of_linked = F.pmod(place, n_rest).cast("int"), (-1 - F.pmod(place, n_linked)).cast("int")
+    own = F.when(F.col("apart"), of_rest).otherwise(of_linked)
+    others = F.when(F.col("apart"), F.sequence(-n_linked, F.lit(-1))).otherwise(F.sequence(F.lit(0), n_rest - 1))
+    cross = both.withColumn("own", own).withColumn("other", F.explode(others))
+    cross = cross.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
+    return near.unionByName(rest.mapInArrow(compare, "a long, b long")).unionByName(met(cross, "path").select(cols).mapInArrow(compare, "a long, b long"))
+
+
 def text_key(text: Column) -> Column:
     """What tells texts of one doc_id apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -304,9 +384,7 @@ def _classed(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep")
     sets = base.where("digest is not null").groupBy("digest").agg(first, F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
-    leaves = candidate_leaves(sets, recall, threshold).join(sets.select("node", "sketch"), "node")
-    near = met(in_blocks(leaves, "path", "node", "n", LEAF), "path").select("path", "bi", "bj", "own", "node", "sketch").mapInArrow(_near(agree_for(threshold)), "a long, b long")
-    comps = connected_components(near)
+    comps = connected_components(near_links(candidate_leaves(sets, recall, threshold), sets, agree_for(threshold)))
     found = comps.join(sets.select("node", "rep", "copies", "size"), F.col("id") == F.col("node"))
     sizes = found.groupBy("comp").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") / SET_SHINGLES)).alias("n"))
     members = written(found.join(sizes, "comp").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), "copies", "comp", "n"), "members")
@@ -314,11 +392,11 @@ def _classed(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     same = rows["doc_id"].eqNullSafe(members["rep_id"]) & (rows["text_key"] == members["rep_key"])
     held = rows.join(F.broadcast(members) if few else members, same)
     full = held.select("node", "comp", "n", "copies", "text").mapInArrow(_shingler, "node long, comp long, n long, copies long, shingles binary")
-    ready = met(in_blocks(full, "comp", "node", "n", LEAF), "comp").select("comp", "bi", "bj", "own", "node", "copies", "shingles")
+    ready = met(in_blocks(full, "comp", "node", "n", BLOCK), "comp").select("comp", "bi", "bj", "own", "node", "copies", "shingles")
     links = written(ready.mapInArrow(_verify(threshold), "a long, hub long, links long"), "links")
 
     degree = links.groupBy("a").agg(F.sum("links").alias("links"), F.min("hub").alias("hub"))
-    if not members.where(F.col("n") > LEAF).isEmpty():
+    if not members.where(F.col("n") > BLOCK).isEmpty():
         own = connected_components(links.select("a", F.col("hub").alias("b")))
         degree = degree.join(own, F.col("a") == F.col("id"), "left").withColumn("hub", F.coalesce("comp", "hub"))
     classed = sets.select("node", "digest", "rep", "copies").join(degree, F.col("node") == F.col("a"), "left").select(
