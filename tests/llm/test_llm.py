@@ -131,6 +131,23 @@ def test_ngram_join_pivots_lose_no_class(spark, monkeypatch):
     assert 3 < len({c for _, c in expected}) < 60
 
 
+def test_connected_components_of_odd_graphs(spark):
+    r = random.Random(3)
+    some = r.sample(range(900), 300)
+    graphs = {
+        "chain": [(i, i + 1) for i in range(300)], "star": [(i, 5000) for i in range(200)], "shuffled": list(zip(some, some[1:])),
+        "random": [(r.randrange(400), r.randrange(400)) for _ in range(250)], "loop": [(3, 3)], "none": [],
+    }
+    for name, edges in graphs.items():
+        of: dict[int, int] = {}
+        for a, b in edges:
+            if a != b:
+                a, b = of.setdefault(a, a), of.setdefault(b, b)
+                of = {k: min(a, b) if v in (a, b) else v for k, v in of.items()}
+        found = ngram_join.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {r.id: r.comp for r in found} == of and len(found) == len(of), name
+
+
 def _classes_of(linked):
     labels = np.arange(len(linked))
     while True:

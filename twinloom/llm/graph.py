@@ -15,22 +15,32 @@ from twinloom.storage import written
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, comp) for every node of the edges (a, b): the smallest id of its component.
 
-    Labels fall to the smallest of the neighbours' labels and then to their
-    label's own label, so that chains shorten by halves. Every round is written
-    to the shared folder; only the number of changes reaches the driver.
+    In a round every node goes to the first of its neighbours and itself, and on to where that one goes; edges are then
+    those between the places reached, each once, so that a star is gone after one round. The first round's order is that of
+    the ids, later ones have random orders, in which a fixed share of the nodes goes away whatever the graph looks like.
+    Every round is written to the shared folder; the driver learns only whether edges are left.
     """
-    both = written(edges.where("a <> b").select("a", "b"), "links")  # read twice
-    both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "labels")
+    one = written(edges.where("a <> b").select("a", "b"), "links")  # read twice
+    left = written(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels, k = None, 0
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        lower = labels.join(near, labels["id"] == near["a"]).select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("via"))
-        own = labels.select(F.col("id").alias("via"), F.col("comp").alias("above"))
-        new = written(lower.join(own, "via").select("id", "old", F.least("via", "above").alias("comp")), "labels")
-        changed = new.where("old <> comp").limit(1).count()
-        labels = new.select("id", "comp")
-        if not changed:
-            return labels
+        order = lambda c: F.struct((F.xxhash64(c, F.lit(k)) if k else F.col(c)).alias("at"), F.col(c).alias("node"))  # noqa: B023, E731
+        first = left.withColumn("place", order("b")).groupBy("a").agg(F.min("place").alias("near"))
+        first = first.select(F.col("a").alias("id"), F.least("near", order("a"))["node"].alias("via"))
+        onward = first.select(F.col("id").alias("via"), F.col("via").alias("root"))
+        step = written(first.join(onward, "via").select("id", "root"), "step")
+        if labels is None:
+            labels = step.withColumnRenamed("root", "comp")
+        else:
+            moved = step.withColumnRenamed("id", "comp")
+            labels = written(labels.join(moved, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "labels")
+        ends = left.join(step.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(step.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
+        left = written(ends.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
+        if left.isEmpty():
+            break
+        k += 1
+    least = labels.groupBy("comp").agg(F.min("id").alias("least"))
+    return written(labels.join(least, "comp").select("id", F.col("least").alias("comp")), "labels")
 
 
 def in_blocks(rows: DataFrame, group: str, member: str, count: str, block: int) -> DataFrame:

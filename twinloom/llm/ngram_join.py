@@ -237,7 +237,7 @@ def _to_pivots(agreed: int):
                 wanted = pivot[row] | np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
                 row, to = row[wanted], to[wanted]
                 offsets = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
-                yield pa.record_batch({"path": part.column("path"), "node": nodes, "n": part.column("n"), "to": pa.ListArray.from_arrays(pa.array(offsets), pa.array(to))})
+                yield pa.record_batch({"path": part.column("path"), "node": nodes, "n": part.column("n"), "sketch": part.column("sketch"), "to": pa.ListArray.from_arrays(pa.array(offsets), pa.array(to))})
 
     return run
 
@@ -348,17 +348,18 @@ def near_links(leaves: DataFrame, sets: DataFrame, agreed: int) -> DataFrame:
     small = in_blocks(leaves.where(F.col("n") <= LEAF).join(sketches, "node"), "path", "node", "n", LEAF)
     near = met(small, "path").select(cols).mapInArrow(compare, "a long, b long")
     large = leaves.where(F.col("n") > LEAF).join(sketches, "node")
-    slot = F.pmod(F.xxhash64("node", "path"), F.lit(PIVOTS)).alias("slot")
-    drawn = large.groupBy("path", slot).agg(F.min(F.struct(F.xxhash64("path", "node").alias("drawn"), "node", "sketch")).alias("pivot"))
+    slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("slot")
+    # nodes are numbered without regard to their texts; the smallest ones are likely those of other buckets too, so links repeat
+    drawn = large.groupBy("path", slot).agg(F.min(F.struct("node", "sketch")).alias("pivot"))
     drawn = drawn.groupBy("path").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
     pivots = written(drawn.mapInArrow(_main_class(agreed), "path long, hubs array<long>, sketches array<binary>"), "pivots")
-    starred = written(large.join(pivots, "path").mapInArrow(_to_pivots(agreed), "path long, node long, n long, to array<long>"), "starred")
+    starred = written(large.join(pivots, "path").mapInArrow(_to_pivots(agreed), "path long, node long, n long, sketch binary, to array<long>"), "starred")
     near = near.unionByName(starred.select(F.col("node").alias("a"), F.explode("to").alias("b")).where("a <> b"))
     apart = F.size("to") == 0
     if starred.where(apart).isEmpty():
         return near
     left = starred.where(apart).groupBy("path").agg(F.count("*").alias("r"))
-    both = starred.join(left, "path").select("path", "node", "n", "r", apart.alias("apart")).join(sketches, "node")
+    both = starred.join(left, "path").select("path", "node", "n", "r", "sketch", apart.alias("apart"))
     rest = met(in_blocks(both.where("apart"), "path", "node", "r", LEAF), "path").select(cols)
     # blocks of members that have a pivot count down from -1, those of the rest up from 0
     place = F.xxhash64("node", "path")
