@@ -9,10 +9,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF, duck, rows
 
-from twinloom.llm import decontaminate, html_text, mixing, ngram_join, pii, pitman_yor, secrets, tokens, topk, toxicity
+from twinloom.llm import decontaminate, html_text, mixing, ngram_join, pii, pitman_yor, seating, secrets, tokens, topk, toxicity
 from twinloom.llm.queries import ORACLE_SQL, QUERIES, TOKENIZER
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, row string, path string"
@@ -370,20 +371,58 @@ def test_scores_are_those_of_a_plain_sampler(spark, monkeypatch):
         assert found == {i: pytest.approx(x, rel=0.02) for i, x in expected.items()}
 
 
-def test_seating_moves_keep_their_distribution():
-    # two customers share a table with weight (1 - d) against the new table's mass
-    rng = np.random.default_rng(1)
-    c = np.array([2] * 4000 + [3] * 4000 + [500] * 50)
-    s = pitman_yor.Seating(c, 0.5, rng)
-    mass = lambda rows, t: np.full(len(rows), 0.8)
-    s.seat(mass)
-    for _ in range(10):
-        s.sweep(mass)
-        assert all((m.sum(axis=1) == c[r]).all() and ((m > 0).sum(axis=1) == s.tables[r]).all() for r, m in s.groups)
-    weights = np.array([(1 - 0.5) * (2 - 0.5) * 0.8, 3 * (1 - 0.5) * 0.8**2, 0.8**3])  # one, two, three tables of three customers
-    assert s.tables[:4000].mean() == pytest.approx(1 + 0.8 / 1.3, abs=0.03)
-    assert s.tables[4000:8000].mean() == pytest.approx((weights * [1, 2, 3]).sum() / weights.sum(), abs=0.05)
-    assert 5 < s.tables[8000:].mean() < 9
+def _log_stirling(discount, most):
+    """log S(c, t) by the recursion S(c + 1, t) = S(c, t - 1) + (c - d t) S(c, t), for c up to ``most``."""
+    row, rows = np.full(most + 2, -np.inf), {}
+    row[1] = 0.0
+    for c in range(1, most):
+        t = np.arange(1, c + 2)
+        row[1 : c + 2] = np.logaddexp(row[: c + 1], np.log(np.maximum(c - discount * t, 1e-300)) + row[1 : c + 2])
+        rows[c + 1] = row[1 : c + 2].copy()
+    return rows
+
+
+@pytest.mark.parametrize("discount", [0.05, 0.3, 0.5, 0.62, 0.8])
+def test_stirling_numbers_of_many_customers(discount):
+    rows = _log_stirling(discount, 1500)
+    s = seating.Stirling(discount)
+    for c in (129, 400, 1500):
+        t = np.arange(1, c + 1)
+        off = s.of_many(np.full(c, c), t) - rows[c]
+        assert np.abs(off).max() < 0.06 and np.abs(off[:4]).max() < 1e-6
+    assert np.allclose(s.table[seating.EXACT, 1:], rows[seating.EXACT])
+
+
+def test_seating_has_the_exact_distribution():
+    d, first, step = 0.6, 0.8, 0.05
+    rows = _log_stirling(d, 600)
+    for c, copies, sweeps in ((2, 4000, 1), (3, 4000, 1), (40, 3000, 1), (128, 2000, 1), (600, 1500, 40)):
+        s = seating.Seating(np.full(copies, c), d, np.random.default_rng(c))
+        for _ in range(sweeps):
+            s.sweep(np.full(copies, first), np.full(copies, step))
+        weight = rows[c] + np.log(first + step * np.arange(c)).cumsum()
+        chance = np.exp(weight - weight.max()) / np.exp(weight - weight.max()).sum()
+        mean = (chance * np.arange(1, c + 1)).sum()
+        spread = math.sqrt((chance * (np.arange(1, c + 1) - mean) ** 2).sum())
+        assert s.tables.mean() == pytest.approx(mean, abs=5 * spread / math.sqrt(copies))
+        assert s.tables.std() == pytest.approx(spread, rel=0.1) and 1 <= s.tables.min() and s.tables.max() <= c
+    # a seating is carried on; a constant weight of new tables, and dishes of none, one and very many customers
+    s = seating.Seating(np.array([0, 1, 10**9]), d, np.random.default_rng(3), np.array([0, 1, 1000]))
+    for _ in range(200):
+        s.sweep(np.full(3, 0.01), np.zeros(3))
+    assert s.tables[:2].tolist() == [0, 1] and 1 <= s.tables[2] < 10**6
+
+
+def test_blocks_hold_the_tokens_of_their_texts():
+    texts = ["", None, "  a B\tc ", "\x0b x\x0c y\n\n", "Ä ä\x85z \x1c q\x1dr", " a b" * 50, "a"]
+    codes, lengths, words = pitman_yor._encoded(pa.array(texts))
+    flat = iter(words[k] for k in codes)
+    assert [[next(flat) for _ in range(n)] for n in lengths] == [pitman_yor.tokens(t) for t in texts]
+    rows = pa.record_batch({"doc_id": list(range(7)), "held": [False] * 7, "text": texts})
+    for most in (1, 30, 10_000):
+        runs = list(pitman_yor._runs(iter([rows.slice(0, 3), rows.slice(3)]), most))
+        assert [x for r in runs for x in r.column(0).to_pylist()] == list(range(7)) and all(r.num_rows for r in runs)
+    assert len(runs) == 1
 
 
 def test_mixing_on_odd_tables(odd, empty):

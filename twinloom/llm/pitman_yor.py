@@ -4,10 +4,11 @@ Every token that is followed by another is a context with a restaurant of its
 own; its customers are the tokens that follow it in training texts, and its
 tables send customers to the parent restaurant that all contexts share, whose
 parent is uniform over the vocabulary and one unknown word. No word is left out
-or merged with others. Seatings are sampled by Gibbs: customers stand up and are
-seated anew given all others (a pair that occurs once has one table, whatever
-the others do). The predictive probability of a word is averaged over the
-samples; it is linear in the numbers of tables, so those are averaged.
+or merged with others. Seatings are sampled by Gibbs: in a sweep all customers of
+a pair are seated anew given the tables of all others as the sweep before left
+them (a pair that occurs once has one table, whatever the others do), and the
+next round goes on from there. The predictive probability of a word is averaged
+over the samples; it is linear in the numbers of tables, so those are averaged.
 
 The work is dealt by hashes. Texts become blocks of about BLOCK_TOKENS tokens;
 a block sends each of its distinct pairs with its count to the pair's bucket,
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -47,10 +49,12 @@ from twinloom.storage import release, written
 
 #: Tokens a block of texts, pairs (each block's counted) a pair bucket, and words (likewise) a word bucket hold, about.
 BLOCK_TOKENS = 1_000_000
-PAIR_BUCKET = 1_500_000
+#: Bytes a token takes with its space, about.
+TOKEN_BYTES = 6
+PAIR_BUCKET = 1_000_000
 WORD_BUCKET = 1_000_000
 #: Exchanges of table counts with the parent, sweeps before samples are taken in each, and samples.
-ROUNDS, BURN_IN, SAMPLES = 2, 2, 3
+ROUNDS, BURN_IN, SAMPLES = 2, 3, 6
 STRENGTH = 1.0
 #: Local ids of the start and the end of a text, which head each block's words.
 START, END = 0, 1
@@ -62,6 +66,38 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def _encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The tokens of all texts as numbers of their distinct words, how many each text has, and those words."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lengths, flat = np.asarray(parts.value_lengths()), parts.flatten().dictionary_encode()
+    words, codes = flat.dictionary.cast(pa.binary()).to_pylist(), np.asarray(flat.indices).astype(np.int64)
+    if b"" in words:  # before and after white space at the ends
+        none = words.index(b"")
+        kept = codes != none
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[kept], minlength=len(lengths))
+        codes = codes[kept] - (codes[kept] > none)
+        words.pop(none)
+    return codes, lengths.astype(np.int64), words
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Runs of rows whose texts, of which the last one may be long, have about ``most`` bytes together."""
+    held, room = [], most
+    for batch in batches:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(2)), 0), dtype=np.int64) + TOKEN_BYTES)
+        lo = done = 0
+        while lo < len(size):
+            hi = min(len(size), 1 + int(np.searchsorted(size, done + room)))
+            held.append(batch.slice(lo, hi - lo))
+            room -= int(size[hi - 1]) - done
+            lo, done = hi, int(size[hi - 1])
+            if room <= 0:
+                yield pa.Table.from_batches(held)
+                held, room = [], most
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _hash(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
@@ -97,48 +133,27 @@ BLOCKS = "block long, n_docs long, n_train long, n_tokens long, n_words long, n_
 def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to blocks: documents (id, held out, length), words (hash, count in training texts) by frequency, token numbers."""
     number = TaskContext.get().partitionId() << 32
-    ids: dict[bytes, int] = {}
-    docs: list[tuple] = []
-    codes: list[np.ndarray] = []
-    size = 0
-
-    def block() -> pa.RecordBatch:
-        nonlocal ids, docs, codes, size, number
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        lengths = np.array([x[2] for x in docs], np.int64)
-        held = np.array([x[1] for x in docs], bool)
-        n = len(ids) + 2
-        train = np.bincount(flat[np.repeat(~held, lengths)], minlength=n)
-        train[[START, END]] = (~held).sum()
-        order = np.concatenate([[START, END], 2 + np.argsort(-np.bincount(flat, minlength=n)[2:], kind="stable")])
+    for texts in _runs(batches, TOKEN_BYTES * BLOCK_TOKENS):
+        made, lengths, words = _encoded(texts.column(2).combine_chunks())
+        held, n = np.asarray(texts.column(1).to_pylist(), bool), len(words) + 2
+        seen = np.bincount(made, minlength=n - 2)
+        order = np.concatenate([[START, END], 2 + np.argsort(-seen, kind="stable")])
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
-        hashes = np.concatenate([np.array([_START_HASH, _END_HASH], np.uint64), _hash(list(ids))])[order]
-        made = rank[flat]
-        keys, _, _, n_pairs = _pairs(made, lengths, held, n)
-        out = {
-            "block": [number], "n_docs": [len(docs)], "n_train": [int((~held).sum())], "n_tokens": [int(lengths[~held].sum() + (~held).sum())], "n_words": [n], "n_pairs": [n_pairs],
-            "docs": [pack([x[0] for x in docs], held, lengths)], "words": [pack(hashes, train[order])], "tokens": [_planes(made)],
-        }
-        ids, docs, codes, size, number = {}, [], [], 0, number + 1
-        return pa.RecordBatch.from_pydict(out)
+        made = rank[made + 2]
+        train = np.bincount(made[np.repeat(~held, lengths)], minlength=n)
+        train[[START, END]] = (~held).sum()
+        hashes = np.concatenate([np.array([_START_HASH, _END_HASH], np.uint64), _hash(words)])[order]
+        pairs = np.sort(_following(made, lengths, n))
+        yield pa.RecordBatch.from_pydict({
+            "block": [number], "n_docs": [len(held)], "n_train": [int((~held).sum())], "n_tokens": [int(lengths[~held].sum() + (~held).sum())], "n_words": [n],
+            "n_pairs": [1 + int((pairs[1:] != pairs[:-1]).sum())], "docs": [pack(texts.column(0).to_pylist(), held, lengths)], "words": [pack(hashes, train)], "tokens": [_planes(made)],
+        })
+        number += 1
 
-    for batch in batches:
-        for doc_id, held, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            words = tokens(text)
-            for w in set(words).difference(ids):
-                ids[w] = len(ids) + 2
-            codes.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
-            docs.append((doc_id, held, len(words)))
-            size += len(words) + 1
-            if size >= BLOCK_TOKENS:
-                yield block()
-    if docs:
-        yield block()
-
-
-def _pairs(flat: np.ndarray, lengths: np.ndarray, held: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Distinct pairs (previous * n + next), each token's pair, each pair's count in training texts; tokens and ends in order."""
+
+def _following(flat: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
+    """Each token's pair (previous * n + next), tokens and ends in order."""
     ends = np.cumsum(lengths + 1)
     total = int(ends[-1]) if len(ends) else 0
     following = np.full(total, END, np.int64)
@@ -148,9 +163,14 @@ def _pairs(flat: np.ndarray, lengths: np.ndarray, held: np.ndarray, n: int) -> t
     previous = np.full(total, START, np.int64)
     previous[1:] = following[:-1]
     previous[ends[:-1]] = START
-    keys, which = np.unique(previous * n + following, return_inverse=True)
+    return previous * n + following
+
+
+def _pairs(flat: np.ndarray, lengths: np.ndarray, held: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (previous * n + next), each token's pair, each pair's count in training texts; tokens and ends in order."""
+    keys, which = np.unique(_following(flat, lengths, n), return_inverse=True)
     count = np.bincount(which, weights=np.repeat(~held, lengths + 1), minlength=len(keys)).astype(np.int64)
-    return keys, which, count, len(keys)
+    return keys, which, count
 
 
 def _dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +238,7 @@ def _send_pairs(buckets: int, hot: np.ndarray):
             for r in batch.to_pylist():
                 h, _ = unpack(r["words"])
                 _, held, lengths = unpack(r["docs"])
-                keys, _, count, _ = _pairs(_ids(r["tokens"]), lengths, held, len(h))
+                keys, _, count = _pairs(_ids(r["tokens"]), lengths, held, len(h))
                 u, w = h[keys // len(h)], h[keys % len(h)]
                 order, cut = _dealt(_pair_buckets(u, w, hot, buckets), buckets)
                 for b in range(buckets):
@@ -334,11 +354,9 @@ def _parent(vocabulary: int, before: float, discount: float, seed: int, final: b
         mean = np.zeros(len(words))
         if before:
             base = np.float64(discount * before + STRENGTH) / (vocabulary + 1)
-            mass = lambda rows, tables: np.full(len(rows), base)
             seats = Seating(customers[served], discount, rng)
-            seats.seat(mass)
             for sweep in range(BURN_IN + samples):
-                seats.sweep(mass)
+                seats.sweep(np.full(len(served), base), np.zeros(len(served)))
                 if sweep >= BURN_IN:
                     mean[served] += seats.tables / samples
         else:
@@ -379,23 +397,16 @@ def _sample(parent: Parent, discount: float, spread: dict[int, float | None], pa
         for sender, data in zip(right.column("sender").to_pylist(), right.column("data").to_pylist()):
             p[order[cut[sender] : cut[sender + 1]]] = parent(*unpack(data))
         p = p[which]
-        seats = Seating(c, discount, np.random.default_rng([seed, to]))
-        seats.tables = np.ones(len(c), np.int64) if tables is None else tables.astype(np.int64)
+        seats = Seating(c, discount, np.random.default_rng([seed, to]), tables)
         elsewhere = np.zeros(len(contexts))
         if spread:
             hashed = contexts.view(np.int64).tolist()
             own = np.bincount(ctx, weights=seats.tables, minlength=len(contexts)) + lone
             elsewhere = np.array([0.0 if x not in spread else y * (pair_buckets - 1) if spread[x] is None else max(0.0, spread[x] - y) for x, y in zip(hashed, own)])
-        seats.tables = np.minimum(seats.tables, 1)
-
-        def mass():
-            others = (elsewhere + lone + np.bincount(ctx, weights=seats.tables, minlength=len(contexts)))[ctx] - seats.tables
-            return lambda rows, t: (STRENGTH + discount * (others[rows] + t)) * p[rows]
-
-        seats.seat(mass())
         mean, of_context = np.zeros(len(c)), np.zeros(len(contexts))
         for sweep in range(BURN_IN + samples):
-            seats.sweep(mass())
+            others = (elsewhere + lone + np.bincount(ctx, weights=seats.tables, minlength=len(contexts)))[ctx] - seats.tables
+            seats.sweep((STRENGTH + discount * others) * p, discount * p)
             if sweep >= BURN_IN:
                 mean += seats.tables / samples
                 of_context += (lone + np.bincount(ctx, weights=seats.tables, minlength=len(contexts))) / samples
@@ -429,7 +440,7 @@ def _score(n: int, v: int, parent: Parent, discount: float, pair_buckets: int, w
         r = left.to_pylist()[0]
         h, _ = unpack(r["words"])
         ids, held, lengths = unpack(r["docs"])
-        keys, which, _, _ = _pairs(_ids(r["tokens"]), lengths, held, len(h))
+        keys, which, _ = _pairs(_ids(r["tokens"]), lengths, held, len(h))
         a, b = keys // len(h), keys % len(h)
         c, tables, p = np.zeros(len(h)), np.zeros(len(h)), np.zeros(len(h))
         code, weight = np.zeros(len(keys), np.uint8), np.zeros(len(keys))

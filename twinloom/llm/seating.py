@@ -1,15 +1,23 @@
-"""Chinese-restaurant seatings of many dishes at once, sampled by Gibbs moves of single customers."""
+"""Numbers of tables of many dishes at once, sampled by Gibbs from their exact distribution given all others.
+
+How the customers of a dish sit shows in predictions by the number of its tables alone, so the sizes of the tables are
+summed out: t tables of c customers weigh S(c, t), a generalised Stirling number of the discount, times the chances of t
+new tables. A dish is drawn anew as a whole, whatever its number of customers.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
 import numpy as np
 
-#: Customers of one dish that a sweep moves at most (drawn anew each time); a dish with fewer moves each once on average.
-MOVES = 16
-#: Dishes with more customers are first seated by groups and not one by one.
-SINGLY = 64
+#: Dishes with up to so many customers are drawn from all their weights, others by MOVES Metropolis steps a sweep.
+EXACT = 128
+MOVES = 4
+#: Terms of the sums for Stirling numbers of many customers.
+TERMS = 80
+#: Cells of weights at once.
+_CELLS = 1 << 20
 
 
 def discount_of(ones: int, twos: int) -> float:
@@ -17,102 +25,124 @@ def discount_of(ones: int, twos: int) -> float:
     return float(np.clip(ones / (ones + 2 * twos) if ones else 0.5, 0.05, 0.95))
 
 
-class Seating:
-    """Tables of each dish: ``customers`` and ``tables`` by dish, and the tables' sizes.
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithms of the gamma function of positive numbers, to about 1e-10."""
+    x = np.asarray(x, np.float64)
+    low = np.zeros(x.shape)
+    while (small := x < 8).any():
+        low = np.where(small, low + np.log(x), low)
+        x = np.where(small, x + 1, x)
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - low
+
+
+class Stirling:
+    """Logarithms of S(c, t): c customers at t tables, each table of n customers weighing (1 - d)(2 - d)...(n - 1 - d)."""
+
+    def __init__(self, discount: float):
+        self.d = discount
+        self.table = np.full((EXACT + 1, EXACT + 1), -np.inf)
+        self.table[1, 1] = 0.0
+        for c in range(1, EXACT):
+            t = np.arange(1, c + 2)
+            with np.errstate(divide="ignore"):
+                self.table[c + 1, 1 : c + 2] = np.logaddexp(self.table[c, : c + 1], np.log(np.maximum(c - discount * t, 0)) + self.table[c, 1 : c + 2])
+
+    def _series(self, c: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The alternating sum for S(c, t) as far as TERMS terms, and where it is trusted: where its terms end, and cancel little."""
+        d = self.d
+        total, sizes, last = np.zeros(len(c)), np.zeros(len(c)), np.zeros(len(c))
+        top, ways = log_gamma(c - d), np.zeros(len(c))
+        for j in range(1, TERMS + 1):
+            with np.errstate(divide="ignore"):
+                ways = ways + np.log(np.maximum(t - j + 1, 0) / j)
+            if (j * d).is_integer():
+                continue
+            last = np.exp(np.minimum(ways + log_gamma(c - j * d) - top, 300.0)) / abs(math.gamma(-j * d))
+            sizes = sizes + last
+            total = total + last * (-1) ** j * math.copysign(1, math.gamma(-j * d))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.log(total) + top - t * math.log(d) - log_gamma(t + 1), (total > 1e-9 * sizes) & (last < 1e-5 * total)
+
+    def _saddle(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The coefficient of x ** c in c! / t! f(x) ** t, f(x) = (1 - (1 - x) ** d) / d, by its saddle point; c > t."""
+        d = self.d
+        c, t = np.asarray(c, np.float64), np.asarray(t, np.float64)
+        ratio = np.log(c / t)
+        # v = log(1 - x), where x f'(x) / f(x) = c / t; the difference falls in v
+        low, high = -(ratio + 5) / (1 - d), np.full(c.shape, -1e-12)
+        for _ in range(60):
+            v = (low + high) / 2
+            above = np.log(d) + np.log(-np.expm1(v)) + (d - 1) * v - np.log(-np.expm1(d * v)) > ratio
+            low, high = np.where(above, v, low), np.where(above, high, v)
+        x, q = -np.expm1(v), c / t
+        bend = np.maximum(q * (1 + (1 - d) * x * np.exp(-v) - q), 1e-300)
+        free = c - t  # a saddle point has Stirling's formula for the factorial of this, which is off by about 1 / (12 free)
+        over = log_gamma(free + 1) - (free + 0.5) * np.log(free) + free - 0.5 * np.log(2 * np.pi)
+        return -over + log_gamma(c + 1) - log_gamma(t + 1) + t * (np.log(-np.expm1(d * v)) - np.log(d)) - c * np.log(x) - 0.5 * np.log(2 * np.pi * t * bend)
+
+    def of_many(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """For c > EXACT: the sum where it can be had, as for few tables beside c ** d, and else the saddle point's, which is good there."""
+        c, t = np.asarray(c, np.float64), np.asarray(t, np.float64)
+        found, good = self._series(c, t)
+        rest = np.flatnonzero(~good)
+        found[rest] = self._saddle(c[rest], np.minimum(t, c - 1)[rest])
+        return np.where(t >= c, 0.0, found)
 
-    Dishes of like size share a matrix of table sizes, a row a dish, those with most customers first. The weight of a new
-    table is ``mass(rows, tables)``; an occupied one weighs its size less the discount. Customers of a dish are alike, so
-    that a table is left by its share of them.
-    """
 
-    def __init__(self, customers: np.ndarray, discount: float, rng: np.random.Generator):
-        self.customers, self.discount, self.rng = np.asarray(customers, np.int64), discount, rng
-        self.tables = np.minimum(self.customers, 1)
-        self.groups: list[tuple[np.ndarray, np.ndarray]] = []
+class Seating:
+    """``tables`` of dishes with ``customers``; ``tables`` may come from an earlier seating, which is carried on."""
 
-    def seat(self, mass: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
-        """First seating: customers come in one after the other, those of very frequent dishes in groups of a tenth of who is there."""
+    def __init__(self, customers: np.ndarray, discount: float, rng: np.random.Generator, tables: np.ndarray | None = None):
+        self.customers, self.discount, self.rng = np.asarray(customers, np.int64), discount, rng
+        self.tables = np.minimum(self.customers, 1) if tables is None else np.asarray(tables, np.int64).copy()
+        self.fresh = tables is None
+        self.stirling = Stirling(discount)
         c = self.customers
-        kind = np.where(c < 2, 0, np.where(c > SINGLY, 0, 1 << np.ceil(np.log2(np.maximum(c, 2))).astype(int)))
-        for k in np.unique(kind[kind > 0]).tolist():
-            rows = np.flatnonzero(kind == k)
-            rows = rows[np.argsort(-c[rows], kind="stable")]
-            sizes = np.zeros((len(rows), min(k, 4)), np.float32)
-            sizes[:, 0] = 1
-            still = np.searchsorted(-c[rows], -np.arange(1, k + 1), side="left")  # rows with more than i customers
-            for i in range(1, k):
-                m = still[i - 1]
-                if not m:
-                    break
-                sizes = self._room(rows, sizes)
-                self._sit(rows[:m], sizes[:m], np.full(m, i), mass)
-            self._group(rows, sizes)
-        rows = np.flatnonzero(c > SINGLY)
-        if len(rows):
-            self._seat_many(rows[np.argsort(-c[rows], kind="stable")], mass)
-
-    def _seat_many(self, rows: np.ndarray, mass) -> None:
-        c, t, i, d, rng = self.customers[rows], np.ones(len(rows)), 1, self.discount, self.rng
+        width = np.where((c > 1) & (c <= EXACT), 1 << np.ceil(np.log2(np.maximum(c, 2))).astype(int), 0)
+        self.few = [(w, np.flatnonzero(width == w)) for w in np.unique(width[width > 0]).tolist()]
+        self.many = np.flatnonzero(c > EXACT)
+
+    def sweep(self, first: np.ndarray, step: np.ndarray) -> None:
+        """Draws each dish anew; beside k tables of its own, a new table weighs ``first + k * step``."""
+        for w, rows in self.few:
+            for lo in range(0, len(rows), max(1, _CELLS // w)):
+                at = rows[lo : lo + max(1, _CELLS // w)]
+                weight = np.log(first[at, None] + step[at, None] * np.arange(w)).cumsum(axis=1) + self.stirling.table[self.customers[at], 1 : w + 1]
+                share = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
+                x = self.rng.random(len(at)) * share[:, -1]
+                self.tables[at] = np.minimum(1 + (share <= x[:, None]).sum(axis=1), self.customers[at])
+        if len(self.many):
+            self._move_many(first[self.many], step[self.many])
+
+    def _move_many(self, first: np.ndarray, step: np.ndarray) -> None:
+        c, rng = self.customers[self.many], self.rng
+        if self.fresh:
+            self.tables[self.many], self.fresh = self._expected(c, first, step), False
+        t = self.tables[self.many]
+        grows = step > 0
+        ahead = first / np.where(grows, step, 1)
+
+        def weight(t: np.ndarray) -> np.ndarray:
+            chance = np.where(grows, t * np.log(np.where(grows, step, 1)) + log_gamma(ahead + t), t * np.log(first))
+            return self.stirling.of_many(c, t) + chance
+
+        now = weight(t)
+        for move in range(MOVES):
+            # steps of about the spread, which is below the root of the number of tables, and small ones in turn
+            reach = np.where(move % 2, 1, 1 + np.floor(np.sqrt(c.astype(np.float64) ** self.discount))).astype(np.int64)
+            to = t + rng.integers(1, reach + 1) * rng.choice([-1, 1], len(t))
+            fits = (to >= 1) & (to <= c)
+            then = weight(np.where(fits, to, t))
+            go = fits & (np.log(rng.random(len(t))) < then - now)
+            t, now = np.where(go, to, t), np.where(go, then, now)
+        self.tables[self.many] = t
+
+    def _expected(self, c: np.ndarray, first: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Where steps begin: tables that come up when customers come in by tenths of who is there."""
+        t, i = np.ones(len(c)), 1
         while (more := c > i).any():
-            k = np.where(more, np.minimum(1 if i < SINGLY else i // 10, c - i), 0)
-            m = mass(rows, t)
-            p = m / (i + np.maximum(k - 1, 0) / 2 - d * t + m)
-            t = np.where(more, np.minimum(t + (rng.random(len(t)) < p if i < SINGLY else rng.poisson(k * p)), c), t)
-            i += 1 if i < SINGLY else i // 10
-        t = t.astype(np.int64)
-        self.tables[rows] = t
-        width = 1 << np.ceil(np.log2(t + 4)).astype(int)
-        for w in np.unique(width).tolist():
-            at = np.flatnonzero(width == w)
-            used = np.arange(w) < t[at][:, None]
-            share = np.where(used, rng.gamma(1 - d, size=(len(at), w)) + 1e-300, 0.0)
-            left = (c - t)[at]
-            sizes = used + np.floor(share / share.sum(axis=1, keepdims=True) * left[:, None])
-            sizes[:, 0] += c[at] - sizes.sum(axis=1)
-            self.groups.append((rows[at], sizes if c[at].max() > 1 << 20 else sizes.astype(np.float32)))
-
-    def _group(self, rows: np.ndarray, sizes: np.ndarray) -> None:
-        """Keeps ``sizes`` in matrices no wider than their rows need."""
-        width = np.minimum(1 << np.ceil(np.log2(self.tables[rows] + 2)).astype(int), sizes.shape[1])
-        for w in np.unique(width).tolist():
-            at = np.flatnonzero(width == w)
-            self.groups.append((rows[at], np.ascontiguousarray(sizes[at, :w])))
-
-    def _room(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """``sizes``, wider if a row that may need another table has no place for it."""
-        full = sizes[:, -1] > 0
-        if not full.any():
-            return sizes
-        at = rows[full]
-        short = (self.tables[at] == sizes.shape[1]) & (self.customers[at] > sizes.shape[1])
-        return np.pad(sizes, ((0, 0), (0, sizes.shape[1]))) if short.any() else sizes
-
-    def _sit(self, rows: np.ndarray, sizes: np.ndarray, there: np.ndarray, mass) -> None:
-        """One more customer of each dish in ``rows`` takes a seat beside the ``there`` others."""
-        t = self.tables[rows]
-        m = mass(rows, t)
-        old = there - self.discount * t
-        x = self.rng.random(len(rows)) * (old + m)
-        reach = (sizes - (sizes > 0) * np.asarray(self.discount, sizes.dtype)).cumsum(axis=1)
-        at = np.minimum((reach <= x[:, None].astype(sizes.dtype)).sum(axis=1), sizes.shape[1] - 1)
-        new = np.flatnonzero(x >= old)
-        at[new] = (sizes[new] == 0).argmax(axis=1)
-        one = np.arange(len(rows))
-        self.tables[rows] = t + (sizes[one, at] == 0)
-        sizes[one, at] += 1
-
-    def sweep(self, mass: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
-        """Customers stand up one by one, of each dish in turn, and are seated anew given all others."""
-        for g, (rows, sizes) in enumerate(self.groups):
-            c = self.customers[rows]
-            one = np.arange(len(rows))
-            for _ in range(int(min(c[0], MOVES))):
-                sizes = self._room(rows, sizes)
-                x = (self.rng.random(len(rows)) * c).astype(sizes.dtype)
-                at = np.minimum((sizes.cumsum(axis=1) <= x[:, None]).sum(axis=1), sizes.shape[1] - 1)
-                empty = np.flatnonzero(sizes[one, at] == 0)  # rounding
-                at[empty] = sizes[empty].argmax(axis=1)
-                sizes[one, at] -= 1
-                self.tables[rows] -= sizes[one, at] == 0
-                self._sit(rows, sizes, c - 1, mass)
-            self.groups[g] = rows, sizes
+            k = np.where(more, np.minimum(max(1, i // 10), c - i), 0)
+            m = first + step * t
+            t += k * m / (i + k / 2 - self.discount * t + m)
+            i += max(1, i // 10)
+        return np.clip(np.round(t), 1, c).astype(np.int64)
