@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import SF, duck, rows
+from pyspark.sql import functions as F
 
 from twinloom.llm import decontaminate, html_text, mixing, ngram_join, pii, pitman_yor, seating, secrets, tokens, topk, toxicity
 from twinloom.llm.queries import ORACLE_SQL, QUERIES, TOKENIZER
@@ -132,6 +133,26 @@ def test_ngram_join_pivots_lose_no_class(spark, monkeypatch):
     assert 3 < len({c for _, c in expected}) < 60
 
 
+def test_ngram_join_splits_a_group_of_near_copies_twice(spark, monkeypatch):
+    """It does not come apart, so further splits would only repeat its rows; these grow as the group does."""
+    monkeypatch.setattr(ngram_join, "LEAF", 16)
+    made, write = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: (out := write(df, name), name == "buckets" and made.append(out.count()))[0])
+    rng, runs = random.Random(4), ngram_join.runs_for(0.999)
+    base = [f"w{i}" for i in range(600)]
+    copies = [" ".join(w if i != at else "x" for i, w in enumerate(base)) for at in rng.sample(range(600), 200)]
+    sets = spark.createDataFrame([(i, ngram_join._sketch(ngram_join.shingles(t))) for i, t in enumerate(copies)], "node long, sketch binary")
+    total = []
+    for n in (100, 200):
+        made.clear()
+        leaves = ngram_join.candidate_leaves(sets.where(F.col("node") < n), 0.999, 0.8)
+        links = ngram_join.near_links(leaves, sets, ngram_join.agree_for(0.8))
+        assert {r.comp for r in ngram_join.connected_components(links).collect()} == {0}
+        assert leaves.select("node").distinct().count() == n
+        total.append(sum(made))
+    assert total[1] <= 2 * runs * 200 and total[1] <= 2.2 * total[0]
+
+
 def test_connected_components_of_odd_graphs(spark):
     r = random.Random(3)
     some = r.sample(range(900), 300)

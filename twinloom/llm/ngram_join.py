@@ -8,8 +8,9 @@ each position's value. Similar sets share a position's value with a chance equal
 to their similarity. Buckets of up to ``LEAF`` sets are compared by their
 sketches, larger ones are split again: the first ``DEPTH`` times on one position,
 then on two positions at once, by which a pair at the threshold has children in
-common as often as not however deep it goes. A bucket that holds more than half
-of the one it was split from does not come apart (it holds copies of one text):
+common as often as not however deep it goes. A bucket that holds more than ``KEPT``
+of the one it was split from (half of it, where it was split on two positions) does
+not come apart (it holds copies of one text) and is not split further:
 its sets are compared with a few pivots from among them, and only those that
 are linked to none of the pivots' class meet the others, in pairs of blocks. The number of runs follows from the recall
 that is asked for. What the sketches may link is one candidate component; within
@@ -49,6 +50,8 @@ BLOCK = 128
 #: Splits on one position; further ones are on BRANCHES positions.
 DEPTH = 3
 BRANCHES = 2
+#: A bucket with more than this share of the one it was split from on one position does not come apart: its sets are as similar as linked ones.
+KEPT = 0.75
 #: Sets of a bucket that does not come apart which all of it is compared with first.
 PIVOTS = 8
 #: Shingles a set of a block has on average at most; blocks of longer ones hold fewer.
@@ -314,11 +317,13 @@ def candidate_leaves(sets: DataFrame, recall: float, threshold: float) -> DataFr
         ways = ways.withColumn(f"path{depth}", F.xxhash64(above, _value(F.col("sketch"), position)))
     ways = ways.drop("sketch")
     leaves = []
+    ways = ways.withColumn("n_above", F.lit(None).cast("long"))
     for depth in range(1, DEPTH + 1):
         buckets = written(_split(ways.withColumnRenamed(f"path{depth}", "path")), "buckets")
-        leaves.append(buckets.where(F.col("n") <= LEAF).select("path", "node", "n"))
-        large = buckets.where(F.col("n") > LEAF)
-        ways = large.drop("path", "n")
+        done = (F.col("n") <= LEAF) | F.coalesce(F.col("n") > KEPT * F.col("n_above"), F.lit(False))
+        leaves.append(buckets.where(done).select("path", "node", "n"))
+        large = buckets.where(~done)
+        ways = large.drop("path", "n_above").withColumnRenamed("n", "n_above")
         if large.isEmpty():
             break
     while not large.isEmpty():
