@@ -534,6 +534,16 @@ def test_stops_after_letters_that_become_marks():
         assert encoder.encode(text) == encoder._ids(text), ascii(text)
 
 
+def test_parts_of_latin_pieces_need_no_whole_encoding(monkeypatch):
+    whole, encoder = tokens._Encoder(TOKENIZER), tokens._Encoder(TOKENIZER)
+    monkeypatch.setattr(encoder, "_ids", lambda piece: pytest.fail(f"{piece!r} was encoded as a text"))
+    rng = random.Random(3)
+    signs = [c for c in map(chr, range(33, 256)) if not c.isspace()] + ["'s", "'LL", "'d"] * 6
+    pieces = [p for c in signs for p in (c, "a" + c, c + "a", c + c, c + "'s")] + ["".join(rng.choices(signs, k=rng.randint(1, 8))) for _ in range(3000)]
+    for p in pieces:
+        assert "<|" in p or encoder[p] == whole._ids(p), p
+
+
 def test_ids_are_those_of_the_tokenizer():
     """Random texts over all kinds of letters, for a tokenizer that splits at spaces and for one that does not."""
     import public_tokenizers

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -115,6 +116,27 @@ _PIECE_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: The same pattern for lower-case texts of code points below 256.
+_LATIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+_PLAIN_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def _byte_letters() -> dict[int, int]:
+    """What the byte-level step writes for each byte: visible bytes stand for themselves, the others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _parts_are_known(config: dict) -> bool:
+    """Whether, after :func:`_splits_at_spaces`, bytes of pre-tokens go to the model as they are, and added tokens all hold "<|"."""
+    rest = ((config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[1:]
+    return rest == [_PLAIN_BYTES] and not config["model"].get("dropout") and all("<|" in t["content"] for t in config["added_tokens"])
+
+
 def _splits_at_spaces(config: dict) -> bool:
     """Whether a tokenizer lower-cases, and splits at white space before all else, as :class:`_Encoder` takes for granted."""
     steps = (config.get("normalizer") or {}).get("normalizers", [])
@@ -135,7 +157,10 @@ class _Encoder(dict):
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.letter = "H" if self.width == 2 else "I"
         self.apart: dict[str, bool] = {}
-        self.by_piece = _splits_at_spaces(json.loads(self.tokenizer.to_str()))
+        config = json.loads(self.tokenizer.to_str())
+        self.by_piece = _splits_at_spaces(config)
+        self.by_part = self.by_piece and _parts_are_known(config)
+        self.model = self.tokenizer.model
 
     def _apart(self, letter: str) -> bool:
         """Whether a stop after a letter is a pre-token of its own: a letter may become letter and mark, and mark and stop are one."""
@@ -148,10 +173,18 @@ class _Encoder(dict):
         ids = self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids
         return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
+    def _part_ids(self, part: str) -> bytes:
+        """Of a pre-token of code points below 256, without the steps before the model."""
+        ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
+
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        if piece[-1] in ".," and piece[:-1].isalpha() and self._apart(piece[-2]):  # a word before a stop is likely known
+        if self.by_part and max(piece) < "\u0100":
+            parts = _LATIN_PARTS.findall(piece.lower())
+            ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else self._part_ids(parts[0])
+        elif piece[-1] in ".," and piece[:-1].isalpha() and self._apart(piece[-2]):  # a word before a stop is likely known
             ids = self[piece[:-1]] + self[piece[-1]]
         else:
             ids = self._ids(piece)
