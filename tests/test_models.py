@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from twinloom.cli import main
 from twinloom.functions.surrogate import MARK, surrogate_sql, surrogate_text, surrogates
+from twinloom.operators import latent
 from twinloom.operators.generate import fit, generate
 from twinloom.operators.latent import contingency, polychoric, polyserial, table_shares
 from twinloom.operators.model import Model, twin_of
@@ -117,3 +118,16 @@ def test_surrogates_in_a_twin(table):
 def test_demo(spark, capsys):
     assert main(["demo"], spark) == 0
     assert '"fidelity"' in capsys.readouterr().out
+
+
+def test_correlation_takes_random_words_for_null_numbers_alone(spark):
+    """Sums over categories and whole numbers need no digest of the key, so the key is not even read."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=500)
+    rows = [(i, float(v), "ab"[int(v + e > 0)], None if i % 7 == 0 else float(v + e)) for i, (v, e) in enumerate(zip(x, rng.normal(size=500)))]
+    df = spark.createDataFrame(rows, "id long, x double, c string, y double")
+    whole, holed = fit(df, "id", seed=3, columns=["x", "c"]), fit(df, "id", seed=3, columns=["x", "c", "y"])
+    assert latent.takes_digests(holed) and not latent.takes_digests(whole)
+    r = latent.correlation(df.drop("id"), whole)
+    assert 0.5 < r[0, 1] < 0.9
+    assert np.abs(r - latent.correlation(df, holed)[:2, :2]).max() == 0

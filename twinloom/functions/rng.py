@@ -57,8 +57,11 @@ def normal_cdf(z: Column) -> Column:
 def normal_quantile_array(p: np.ndarray) -> np.ndarray:
     tail = lambda t: _horner(t, _C) / (_horner(t, _D) * t + 1)
     m = p - 0.5
-    middle = m * _horner(m * m, _A) / (_horner(m * m, _B) * m * m + 1)
-    return np.where(p < _LOW, tail(np.sqrt(-2 * np.log(p))), np.where(p > 1 - _LOW, -tail(np.sqrt(-2 * np.log(1 - p))), middle))
+    out = m * _horner(m * m, _A) / (_horner(m * m, _B) * m * m + 1)
+    below, above = p < _LOW, p > 1 - _LOW  # a twentieth of all, as a rule
+    out[below] = tail(np.sqrt(-2 * np.log(p[below])))
+    out[above] = -tail(np.sqrt(-2 * np.log(1 - p[above])))
+    return out
 
 
 def normal_cdf_array(z: np.ndarray) -> np.ndarray:

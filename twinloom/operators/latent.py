@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.functions.rng import normal_cdf_array, normal_quantile_array
-from twinloom.operators.model import EDGE, Model, Scorer, encoded
+from twinloom.operators.model import EDGE, Model, Scorer, encoded, share_below
 
 #: Correlations of categories are sought within this.
 MOST = 0.999
@@ -77,17 +77,26 @@ def polyserial(sums: np.ndarray, n: float, a: np.ndarray) -> float:
     return float(np.clip((sums * steps).sum() / n / (steps * steps).sum(), -MOST, MOST)) if n else 0.0
 
 
+def takes_digests(model: Model) -> bool:
+    """Whether sums need random words: for numbers that are null alone, as those of categories are counts."""
+    return any(c.kind == "continuous" and c.nulls for c in model.scored)
+
+
 def _sums(model: Model):
     """Per partition: the products of all scores of numbers and indicators of categories, a row each, and the count of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests = takes_digests(model)
         scorer, total, n = Scorer(model), None, 0
         for batch in batches:
-            z, _ = scorer(batch)
+            z = scorer(batch)[0] if digests else None
             blocks, at = [], 0
             for i, c in enumerate(model.scored):
-                x = batch.column(scorer.blocks + i)
-                if c.kind == "continuous":
+                x = batch.column(scorer.blocks * digests + i)
+                if c.kind == "continuous" and z is None:
+                    u = share_below(np.asarray(x, dtype=np.float64), np.array(c.knots))
+                    blocks.append(normal_quantile_array(np.clip(u, EDGE, 1 - EDGE))[:, None])
+                elif c.kind == "continuous":
                     blocks.append(z[:, [at]])
                 else:
                     place = np.asarray(pc.index_in(x, value_set=pa.array(c.values, pa.string()), skip_nulls=True).fill_null(-1))
@@ -128,7 +137,7 @@ def correlation(df: DataFrame, model: Model) -> np.ndarray:
     out = np.eye(len(slots))
     if len(slots) < 2:
         return out
-    rows = df.select(*encoded(df, model)).mapInArrow(_sums(model), "i int, sums array<double>").repartition("i").mapInArrow(_added, "i int, sums array<double>").collect()
+    rows = df.select(*encoded(df, model, takes_digests(model))).mapInArrow(_sums(model), "i int, sums array<double>").repartition("i").mapInArrow(_added, "i int, sums array<double>").collect()
     if not rows:
         return out
     g = np.zeros((at, at))

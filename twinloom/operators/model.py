@@ -101,9 +101,9 @@ def row_key(keys: list[str]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in keys])
 
 
-def encoded(df: DataFrame, model: Model) -> list[Column]:
+def encoded(df: DataFrame, model: Model, digests: bool = True) -> list[Column]:
     """What scoring takes of a table: digests, then the scored columns, numbers as doubles and categories as texts."""
-    blocks = [b.alias(f"_h{i}") for i, b in enumerate(hash_blocks(model.seed, row_key(model.keys), model.n_scores))]
+    blocks = [b.alias(f"_h{i}") for i, b in enumerate(hash_blocks(model.seed, row_key(model.keys), model.n_scores))] if digests else []
     kinds = {f.name: f.dataType for f in df.schema.fields}
     return blocks + [(as_double(c.name, kinds[c.name]) if c.kind == "continuous" else F.col(f"`{c.name}`").cast("string")).alias(f"_c{i}") for i, c in enumerate(model.scored)]
 
